@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, store, token_counts, url_rules, warc
+from . import decontaminate, licenses, packing, quality, store, token_counts, toxicity, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,5 +102,54 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_urls": op3_urls, "op10_tokens": op10_tokens}
-ORACLES = {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op3_urls": OP3_SQL}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+OP5_SQL = r"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+), i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark
+), iw as (
+  select distinct item_id, k, array_to_string(words[p : p + k - 1], ' ') as win
+  from (select item_id, words, least(10, len(words)) as k, unnest(range(1, len(words) - least(10, len(words)) + 2)) as p from i where len(words) > 0)
+), dw as (
+  select doc_id, p, k, array_to_string(words[p : p + k - 1], ' ') as win
+  from (select doc_id, words, k, unnest(range(1, len(words) - k + 2)) as p from w, (select distinct k from iw))
+), hit as (
+  select doc_id, p, dw.k, item_id from dw join iw using (k, win)
+), words_hit as (
+  select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(p, p + k)) as x from (select distinct doc_id, p, k from hit)) group by 1
+), items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from hit) group by 1
+)
+select w.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join words_hit using (doc_id) left join items using (doc_id)
+"""
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens at most."""
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.drop("ids")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_urls": op3_urls, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op8_packing": op8_packing, "op9_licenses": op9_licenses, "op10_tokens": op10_tokens}
+ORACLES = {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op3_urls": OP3_SQL, "op5_decontaminate": OP5_SQL}
