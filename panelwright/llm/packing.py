@@ -12,6 +12,8 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from . import store, words
 
 FILL_STEPS = 4000  # fillings looked at for one sequence before the best found is taken
 SEARCH_NODES = 2000  # sequences tried by branch and bound on what the patterns leave
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000  # some 30 MB
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -230,12 +232,21 @@ def place(length: np.ndarray, rank: np.ndarray, table: np.ndarray) -> tuple[np.n
     return t[:, 3] + nth // np.maximum(t[:, 4], 1), t[:, 5] + (nth % np.maximum(t[:, 4], 1)) * length
 
 
+# ASCII marks at which a letter run surely ends or begins for the tokenizer; the apostrophe and the marks of special tokens are not among them.
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[ord(c) for c in '!"#$%&()*+,-./:;=?@[\\]^_`{}~']] = True
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_SLOTS = 1 << 22
+
+
 class Encoder:
-    """Token ids of whole texts, a distinct word at a time.
+    """Token ids of whole texts, a distinct piece of text at a time.
 
-    Exact for tokenizers that drop ASCII white space before anything else can
-    see across it, as word_bpe_49k.json does; checked by tests against whole
-    texts.  Ids of up to CACHE_WORDS words are kept between batches.
+    A piece is a word, cut where an ASCII letter meets a mark.  This is exact for
+    tokenizers that lower-case, drop ASCII white space and cut there too before
+    they merge, as word_bpe_49k.json does; tests check it against whole texts.
+    Ids of up to CACHE_WORDS pieces are kept between batches.
     """
 
     def __init__(self, path: str):
@@ -250,37 +261,68 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.empty(0, dtype=np.uint64)
-        self.first = np.zeros(1, dtype=np.int64)
-        self.ids = np.empty(0, dtype=np.uint32)
+        self.slots = np.zeros(_SLOTS, dtype=np.int32)
+        self.known = 1  # row 0 is no piece
+        self.used = 0
+        self.keys = np.zeros(1 << 16, dtype=np.uint64)
+        self.begin = np.zeros(1 << 16, dtype=np.int64)
+        self.many = np.zeros(1 << 16, dtype=np.int64)
+        self.ids = np.empty(1 << 18, dtype=np.uint32)
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one longer than texts)."""
-        w = words.split(texts)
-        keys, at, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_WORDS:
+        w = _pieces(words.split(texts))
+        hashes = w.hashes()
+        if self.known > CACHE_WORDS:
             self._clear()
-        new = ~np.isin(keys, self.keys, assume_unique=True)
-        if new.any():
-            tokens = [x.ids for x in self.model.encode_batch_fast([w.data[w.starts[i] : w.ends[i]].tobytes().decode("utf-8") for i in at[new]], add_special_tokens=False)]
-            n = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-            flat = np.fromiter((t for x in tokens for t in x), dtype=np.uint32, count=int(n.sum()))
-            self._add(keys[new], n, flat)
-        row = np.searchsorted(self.keys, keys)[which.reshape(-1)]
-        begin, n = self.first[row], self.first[row + 1] - self.first[row]
+        slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        row = self.slots[slot]
+        missing = np.flatnonzero(self.keys[row] != hashes)
+        if len(missing):
+            keys, at, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            raw, s, e = w.data.tobytes(), w.starts[missing[at]].tolist(), w.ends[missing[at]].tolist()
+            tokens = [x.ids for x in self.model.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(s, e, strict=True)], add_special_tokens=False)]
+            row[missing] = self._add(keys, tokens)[which.reshape(-1)]
+        begin, n = self.begin[row], self.many[row]
         grown = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n)])
         ids = self.ids[np.arange(grown[-1]) + np.repeat(begin - grown[:-1], n)]
         return ids, grown[w.ptr]
 
-    def _add(self, keys, n, flat) -> None:
-        old = np.diff(self.first)
-        all_keys, all_n = np.concatenate([self.keys, keys]), np.concatenate([old, n])
-        all_first = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum(n) - n])
-        all_ids = np.concatenate([self.ids, flat])
-        order = np.argsort(all_keys)
-        self.keys, sizes, begin = all_keys[order], all_n[order], all_first[order]
-        self.first = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes)])
-        self.ids = all_ids[np.arange(self.first[-1]) + np.repeat(begin - self.first[:-1], sizes)]
+    def _add(self, keys: np.ndarray, tokens: list) -> np.ndarray:
+        n = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        size, rows = int(n.sum()), np.arange(self.known, self.known + len(keys))
+        while self.known + len(keys) > len(self.keys):
+            self.keys, self.begin, self.many = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.begin, self.many))
+        while self.used + size > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + size] = np.fromiter(chain.from_iterable(tokens), dtype=np.uint32, count=size)
+        self.keys[rows], self.many[rows], self.begin[rows] = keys, n, self.used + np.cumsum(n) - n
+        self.slots[(keys & np.uint64(_SLOTS - 1)).astype(np.int64)] = rows
+        self.known, self.used = self.known + len(keys), self.used + size
+        return rows
+
+
+def _pieces(w: words.Words) -> words.Words:
+    """Words cut between an ASCII letter and a mark; A-Z lower-cased, unless some text may hold a special token."""
+    d = w.data
+    mark, letter = _MARKS[d], _LETTERS[d]
+    first, last = np.zeros(len(d) + 1, dtype=bool), np.zeros(len(d) + 1, dtype=bool)
+    first[1:-1] = last[1:-1] = (mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1])
+    first[w.starts] = last[w.ends] = True
+    # the cuts between texts are no word's end and no word's start unless they were
+    inner = w.offsets[1:-1]
+    was_first, was_last = np.zeros_like(first), np.zeros_like(last)
+    was_first[w.starts] = was_last[w.ends] = True
+    first[inner], last[inner] = was_first[inner], was_last[inner]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    special = bool(np.any((d[1:] == ord("|")) & (d[:-1] == ord("<"))))
+    return words.Words(d if special else words.LOWER[d], starts, ends, np.searchsorted(starts, w.offsets), w.offsets)
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that what it has learned serves its next tasks."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -295,10 +337,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), *[T.StructField(c, t) for c, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("ids", T.BinaryType()), ("task", T.IntegerType()), ("nth", T.LongType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, task = None, np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
+        seen, task = np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            encode = encode or Encoder(tokenizer_path)
-            for part in words.blocks(batch, "text", 1 << 20):
+            encode = encoder(tokenizer_path)
+            for part in words.blocks(batch, "text", 4 << 20):
                 ids, ptr = encode(part.column(1))
                 total = np.diff(ptr) + 1
                 many = -(-total // capacity)
