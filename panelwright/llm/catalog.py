@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, quality, store, token_counts, toxicity, url_rules, warc
+from . import decontaminate, licenses, near_dups, packing, quality, repeats, store, token_counts, toxicity, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,17 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents, by shingles of four words."""
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, similarity=80)
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 20 words or more that start earlier too."""
+    docs = _table(spark, sf_dir, "documents")
+    return repeats.kept_words(docs, repeats.repeats(docs, window=20))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -151,5 +162,5 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_urls": op3_urls, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op8_packing": op8_packing, "op9_licenses": op9_licenses, "op10_tokens": op10_tokens}
+QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_urls": op3_urls, "op4_near_dups": op4_near_dups, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_repeats": op7_repeats, "op8_packing": op8_packing, "op9_licenses": op9_licenses, "op10_tokens": op10_tokens}
 ORACLES = {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op3_urls": OP3_SQL, "op5_decontaminate": OP5_SQL}

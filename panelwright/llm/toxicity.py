@@ -1,7 +1,7 @@
 """A convolutional text classifier for toxicity, trained and run in numpy.
 
-A word is the sum of two embeddings found by hash: of the word and of its first
-bytes, which carries over to inflected forms.  Filters of several widths run
+A word is the sum of embeddings found by hash: of the word and of its beginnings
+of several lengths, which carry over to inflected and compound forms.  Filters of several widths run
 over the words, each filter's largest response is kept, and a logistic unit
 reads those.  Only the text goes into a score; the language is used after that,
 to choose the threshold.
@@ -21,7 +21,7 @@ from . import store, words
 
 TRAIN_ROWS = 6000  # labelled rows, at most about, that the classifier is fitted on
 TRAIN_BYTES = 200_000_000  # and at most so much text of them
-PREFIX = 4
+PREFIXES = (4, 5, 6, 7)  # bytes of a word that have an embedding of their own
 SLOTS = 1 << 22
 
 
@@ -37,12 +37,14 @@ class Model:
     default_threshold: float = 0.7
 
 
-def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word and of its beginning, and the word at which each text begins."""
+def features(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word and its beginnings, a row for each kind, the word's again where it is no longer than that; and the word at which each text begins."""
     w = words.split(texts, words.ALNUM, lower=True)
-    head = words.Words(w.data, w.starts, np.minimum(w.ends, w.starts + PREFIX), w.ptr, w.offsets)
-    with np.errstate(over="ignore"):
-        return w.hashes(), words.mix(head.hashes() + np.uint64(1)), w.ptr
+    out = np.tile(w.hashes(), (1 + len(PREFIXES), 1))
+    for i, n in enumerate(PREFIXES, 1):
+        long = np.flatnonzero(w.ends - w.starts > n)
+        out[i, long] = words.mix(words.Words(w.data, w.starts[long], w.starts[long] + n, w.ptr, w.offsets).hashes() + np.uint64(n))
+    return out, w.ptr
 
 
 def _padded(ptr: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,22 +74,24 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size: int = 12, filters: int = 8, widths: tuple = (1, 2, 3), epochs: int = 8, least_docs: int = 4, seed: int = 5) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size: int = 12, filters: int = 8, widths: tuple = (1, 2, 3), epochs: int = 8, least_part: float = 0.0025, seed: int = 5, **more) -> Model:
     """Train on labelled texts; a fifth of them sets the thresholds of the languages.
 
-    Hashes that fewer than least_docs of the texts have are left to the common
-    row of unknown words.  One class only, or no texts, gives a model whose
+    Hashes that fewer than 3 of the texts have, or a smaller part of them than
+    least_part, are left to the common row of unknown words.  One class only, or no texts, gives a model whose
     scores are near that class's rate.
     """
     rng = np.random.default_rng(seed)
-    word, head, ptr = features(texts)
+    hashes, ptr = features(texts)
     doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    pairs = np.concatenate([np.rec.fromarrays([word, doc], names="k,d"), np.rec.fromarrays([head, doc], names="k,d")])
-    keys, times = np.unique(np.unique(pairs)["k"], return_counts=True)
-    del pairs
-    keys = keys[times >= least_docs]
+    kept = []
+    for h in hashes:
+        keys, which = np.unique(h, return_inverse=True)
+        of_docs = np.unique(which.reshape(-1).astype(np.int64) * len(ptr) + doc) // len(ptr)
+        kept.append(keys[(np.bincount(of_docs, minlength=len(keys)) > max(2, least_part * len(ptr))) & (keys != 0)])
+    keys = np.unique(np.concatenate(kept))
     find = _Lookup(keys)
-    a, b = find(word), find(head)
+    rows = np.stack([find(h) for h in hashes])
     y = np.asarray(labels, dtype=np.float32)
     vectors = (rng.standard_normal((len(keys) + 1, size)) * 0.1).astype(np.float32)
     vectors[0] = 0
@@ -97,17 +101,17 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size:
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
     if 0 < y[used].sum() < len(used):
-        _descend(m, a, b, ptr, y, used, epochs, rng)
+        _descend(m, rows, ptr, y, used, epochs, rng, **more)
     _calibrate(m, texts, y, langs, held)
     return m
 
 
-def _descend(m: Model, a, b, ptr, y, used, epochs, rng, batch: int = 32, rate: float = 0.08) -> None:
+def _descend(m: Model, known, ptr, y, used, epochs, rng, batch: int = 32, rate: float = 0.08, power: float = 0.5) -> None:
     """Adagrad over small batches; only the largest response of a filter passes a gradient back."""
     widths, pad = [len(f) for f in m.filters], max(len(f) for f in m.filters)
     n_filters = m.filters[0].shape[2]
     sums = {"v": np.full(m.vectors.shape, 1e-2, dtype=np.float32), "o": np.full(m.out.shape, 1e-2, dtype=np.float32), "f": [np.full(f.shape, 1e-2, dtype=np.float32) for f in m.filters], "b": [np.full(x.shape, 1e-2, dtype=np.float32) for x in m.biases]}
-    bias_sum, weight = 1e-2, min(10.0, float((1 - y[used]).sum() / max(1.0, y[used].sum())) ** 0.5)
+    bias_sum, weight = 1e-2, min(10.0, float((1 - y[used]).sum() / max(1.0, y[used].sum())) ** power)
     for _ in range(epochs):
         rng.shuffle(used)
         for at in range(0, len(used), batch):
@@ -116,9 +120,9 @@ def _descend(m: Model, a, b, ptr, y, used, epochs, rng, batch: int = 32, rate: f
             own = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n)])
             source = np.arange(own[-1]) + np.repeat(ptr[docs] - own[:-1], n)
             place, first, blank = _padded(own, pad)
-            ra, rb = np.zeros(len(blank), dtype=np.int32), np.zeros(len(blank), dtype=np.int32)
-            ra[place], rb[place] = a[source], b[source]
-            x = m.vectors[ra] + m.vectors[rb]
+            row = np.zeros((len(known), len(blank)), dtype=np.int32)
+            row[:, place] = known[:, source]
+            x = m.vectors[row].mean(axis=0)
             pooled, where = np.empty((len(docs), m.out.size), dtype=np.float32), []
             ends = np.append(first[1:], len(blank))
             for i, (f, bias) in enumerate(zip(m.filters, m.biases, strict=True)):
@@ -145,9 +149,9 @@ def _descend(m: Model, a, b, ptr, y, used, epochs, rng, batch: int = 32, rate: f
                 sums["b"][i] += d_b**2
                 m.biases[i] -= rate * d_b / np.sqrt(sums["b"][i])
             d_x, rows = np.concatenate(d_x), np.concatenate(rows)
-            touched, inverse = np.unique(np.concatenate([ra[rows], rb[rows]]), return_inverse=True)
+            touched, inverse = np.unique(row[:, rows], return_inverse=True)
             d_v = np.zeros((len(touched), x.shape[1]), dtype=np.float32)
-            np.add.at(d_v, inverse, np.concatenate([d_x, d_x]))
+            np.add.at(d_v, inverse.reshape(-1), np.tile(d_x / len(known), (len(known), 1)))
             d_v[touched == 0] = 0
             sums["v"][touched] += d_v**2
             m.vectors[touched] -= rate * d_v / np.sqrt(sums["v"][touched])
@@ -169,13 +173,13 @@ def _responses(x: np.ndarray, f: np.ndarray, bias: np.ndarray, blank: np.ndarray
 
 def score(m: Model, find: _Lookup, texts) -> np.ndarray:
     """Score between 0 and 1 of each text."""
-    word, head, ptr = features(texts)
+    hashes, ptr = features(texts)
     pad = max(len(f) for f in m.filters)
     place, first, blank = _padded(ptr, pad)
     out = np.full(len(first), m.out_bias, dtype=np.float64)
     if len(first):
         x = np.zeros((len(blank), m.vectors.shape[1]), dtype=np.float32)
-        x[place] = m.vectors[find(word)] + m.vectors[find(head)]
+        x[place] = sum(m.vectors[find(h)] for h in hashes) / len(hashes)
         n = 0
         for f, bias in zip(m.filters, m.biases, strict=True):
             top = np.maximum.reduceat(_responses(x, f, bias, blank), first, axis=0)

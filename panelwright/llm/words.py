@@ -94,10 +94,14 @@ class Words:
                 out[a:b] = np.add.reduceat(_BYTE[self.data[at]] * pw[rel], first) + n.astype(np.uint64) * U(0x632BE59BD9B4E019)
         return mix(out)
 
-    def text_of(self, a: int, b: int) -> bytes:
-        """Words a up to b as bytes, joined by one space."""
-        d, s, e = self.data, self.starts, self.ends
-        return b" ".join(d[s[i] : e[i]].tobytes() for i in range(a, b))
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """All words, each with one space after it, and where each begins (one longer than the words)."""
+        n = self.ends - self.starts
+        first = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n)])
+        at = np.arange(first[-1]) - np.repeat(first[:-1], n) + np.repeat(self.starts, n)
+        out = np.full(first[-1] + len(n), 0x20, dtype=np.uint8)
+        out[np.arange(first[-1]) + np.repeat(np.arange(len(n)), n)] = self.data[at]
+        return out.tobytes(), first + np.arange(len(first))
 
 
 def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,3 +170,9 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         b = max(a + 1, int(np.searchsorted(grown, done + most, side="right")))
         yield batch.slice(a, b - a)
         a = b
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by one sort."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(1, dtype=bool), x[1:] != x[:-1]])] if len(x) else x
