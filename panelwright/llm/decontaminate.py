@@ -307,7 +307,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", len
     schema = T.StructType([*docs.schema.fields, T.StructField("_changed", T.BooleanType())])
     out = docs.mapInArrow(run, schema)
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when("_changed", F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+        out = out.withColumn(length_col, F.when(F.col("_changed"), F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
     return out.select(*docs.columns)
 
 

@@ -427,5 +427,5 @@ def remove(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_co
 
     out = joined.mapInArrow(run, schema)
     if length_col and length_col in columns:
-        out = out.withColumn(length_col, F.when("_changed", F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+        out = out.withColumn(length_col, F.when(F.col("_changed"), F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
     return out.select(*columns)

@@ -3,7 +3,8 @@
 A word is the sum of embeddings found by hash: of the word and of its beginnings
 of several lengths, which carry over to inflected and compound forms.  Filters of several widths run
 over the words, each filter's largest response is kept, and a logistic unit
-reads those.  Only the text goes into a score; the language is used after that,
+reads those.  Embeddings begin with how far the labels of a word's texts are
+from the rate, all else at random.  Only the text goes into a score; the language is used after that,
 to choose the threshold.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import store, words
 
-TRAIN_ROWS = 6000  # labelled rows, at most about, that the classifier is fitted on
+TRAIN_ROWS = 4000  # labelled rows, at most about, that the classifier is fitted on
 TRAIN_BYTES = 200_000_000  # and at most so much text of them
 PREFIXES = (4, 5, 6, 7)  # bytes of a word that have an embedding of their own
 SLOTS = 1 << 22
@@ -74,7 +75,7 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size: int = 12, filters: int = 8, widths: tuple = (1, 2, 3), epochs: int = 8, least_part: float = 0.0025, seed: int = 5, **more) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size: int = 12, filters: int = 8, widths: tuple = (1, 2, 3), epochs: int = 5, least_part: float = 0.0025, seed: int = 5, **more) -> Model:
     """Train on labelled texts; a fifth of them sets the thresholds of the languages.
 
     Hashes that fewer than 3 of the texts have, or a smaller part of them than
@@ -100,19 +101,36 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size:
     m.out_bias = float(np.log(rate / (1 - rate)))
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
+    _begin(m, rows, doc, y, used)
     if 0 < y[used].sum() < len(used):
         _descend(m, rows, ptr, y, used, epochs, rng, **more)
     _calibrate(m, texts, y, langs, held)
     return m
 
 
-def _descend(m: Model, known, ptr, y, used, epochs, rng, batch: int = 32, rate: float = 0.08, power: float = 0.5) -> None:
+def _begin(m: Model, rows: np.ndarray, doc: np.ndarray, y: np.ndarray, used: np.ndarray) -> None:
+    """First coordinate of an embedding: how far its texts' labels are from the rate, in standard deviations; filters begin by reading it."""
+    mine = np.zeros(len(y), dtype=bool)
+    mine[used] = True
+    rate = float(y[used].mean()) if len(used) else 0.0
+    pairs = words.distinct(np.concatenate([r[mine[doc]].astype(np.int64) * len(y) + doc[mine[doc]] for r in rows]))
+    key, of = pairs // max(1, len(y)), pairs % max(1, len(y))
+    n = np.bincount(key, minlength=len(m.vectors))
+    hits = np.bincount(key, weights=y[of], minlength=len(m.vectors))
+    m.vectors[:, 0] = (hits - n * rate) / np.sqrt(n * rate * (1 - rate) + 1) / 10
+    m.vectors[0] = 0
+    for f in m.filters:
+        f[:, 0] = np.abs(f[:, 0]) * 3 / len(f)
+    m.out[:] = np.abs(m.out)
+
+
+def _descend(m: Model, known, ptr, y, used, epochs, rng, batch: int = 32, least_steps: int = 500, rate: float = 0.15, power: float = 0.5) -> None:
     """Adagrad over small batches; only the largest response of a filter passes a gradient back."""
     widths, pad = [len(f) for f in m.filters], max(len(f) for f in m.filters)
     n_filters = m.filters[0].shape[2]
     sums = {"v": np.full(m.vectors.shape, 1e-2, dtype=np.float32), "o": np.full(m.out.shape, 1e-2, dtype=np.float32), "f": [np.full(f.shape, 1e-2, dtype=np.float32) for f in m.filters], "b": [np.full(x.shape, 1e-2, dtype=np.float32) for x in m.biases]}
     bias_sum, weight = 1e-2, min(10.0, float((1 - y[used]).sum() / max(1.0, y[used].sum())) ** power)
-    for _ in range(epochs):
+    for _ in range(max(epochs, least_steps * batch // max(1, len(used)))):
         rng.shuffle(used)
         for at in range(0, len(used), batch):
             docs = np.sort(used[at : at + batch])
