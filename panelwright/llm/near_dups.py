@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
     spread = spread.withColumn("other", F.explode(other)).withColumn("pair", F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other"))
     spread = store.materialise(spread.select("rep", "tree", "block", "pair", "blocks"), "blocks")
     # one text of each set
-    texts = source.where("id is not null").withColumnRenamed("id", "rep").join(spread, "rep")
+    texts = source.where("id is not null").withColumnRenamed("id", "rep").join(spread.hint("merge"), "rep")
     groups = store.buckets_for(docs.select(F.col(text_col)), TASK_BYTES)
     texts = texts.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("tree"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("tree", "pair"), F.lit(groups))))
     links = texts.select("bucket", "rep", "tree", "pair", "block", "text").groupBy("bucket").applyInArrow(_confirm(shingle, similarity), "a long, b long")
