@@ -1 +1 @@
-"""Part of panelwright."""
+"""Column expressions and windows that operators are built from."""

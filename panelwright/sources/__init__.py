@@ -1 +1 @@
-"""Part of panelwright."""
+"""Panels from and to rows, wide tables and files."""
