@@ -38,8 +38,8 @@ ANCHOR = 8
 SAMPLE_ROWS = 20_000  # documents, about, whose anchors show which are frequent
 FREQUENT = 0.002  # part of the sampled documents; it decides how suffixes are split, not what is found
 FREQUENT_MOST = 100_000
-GROUP_BYTES = 4 << 20
-HELD = 1 << 20  # windows under frequent anchors that a task holds before it merges equal ones
+GROUP_BYTES = 2 << 20
+HELD = 300_000  # windows under frequent anchors that a task holds before it merges equal ones
 
 BY_ANCHOR, BY_WINDOW, MARKED = 0, 1, 2
 PREFIX = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("many", "<u2"), ("kind", "u1")])
@@ -347,7 +347,7 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_c
     again = store.materialise(blobs.each_bucket(prefixes, _repeated(buckets), PREFIX, blobs.SCHEMA), "prefixes")
 
     wanted = store.materialise(blobs.each_bucket(again, _by_document(PREFIX, (BY_ANCHOR, BY_WINDOW)), PREFIX, "id long, records binary"), "wanted")
-    passages = source.join(wanted, "id").select("id", "text", "records").mapInArrow(_passages(window, buckets), "bucket long, doc long, at long, many int, text binary")
+    passages = source.join(wanted.hint("merge"), "id").select("id", "text", "records").mapInArrow(_passages(window, buckets), "bucket long, doc long, at long, many int, text binary")
     marks = passages.groupBy("bucket").applyInArrow(_trees(window, buckets), blobs.SCHEMA)
     marks = store.materialise(marks, "marks")
 
@@ -368,7 +368,7 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_c
 def kept_words(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) for each row of docs: what spans leave, joined by one space."""
     store.ship(docs.sparkSession)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(spans.withColumnRenamed(id_col, "id"), "id", "left").select("id", "text", "starts", "ends")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(spans.withColumnRenamed(id_col, "id").hint("merge"), "id", "left").select("id", "text", "starts", "ends")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +401,7 @@ def remove(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_co
     """
     spans = repeats(docs, window=window, anchor=anchor, id_col=id_col, text_col=text_col)
     columns, at = docs.columns, docs.columns.index(text_col)
-    joined = docs.join(spans.select(F.col(id_col), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")), id_col, "left").select(*columns, "_starts", "_ends")
+    joined = docs.join(spans.select(F.col(id_col), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")).hint("merge"), id_col, "left").select(*columns, "_starts", "_ends")
     schema = T.StructType([*docs.schema.fields, T.StructField("_changed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
