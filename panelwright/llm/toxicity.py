@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import store, words
 
 TRAIN_ROWS = 4000  # labelled rows, at most about, that the classifier is fitted on
-TRAIN_BYTES = 200_000_000  # and at most so much text of them
+TRAIN_BYTES = 24_000_000  # and at most so much text of them
 PREFIXES = (4, 5, 6, 7)  # bytes of a word that have an embedding of their own
 SLOTS = 1 << 22
 
@@ -93,6 +93,7 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size:
     keys = np.unique(np.concatenate(kept))
     find = _Lookup(keys)
     rows = np.stack([find(h) for h in hashes])
+    del hashes, kept
     y = np.asarray(labels, dtype=np.float32)
     vectors = (rng.standard_normal((len(keys) + 1, size)) * 0.1).astype(np.float32)
     vectors[0] = 0
