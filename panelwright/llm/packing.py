@@ -9,6 +9,7 @@ pieces, each of which knows its rank among the pieces of its length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from . import store, words
 FILL_STEPS = 4000  # fillings looked at for one sequence before the best found is taken
 SEARCH_NODES = 2000  # sequences tried by branch and bound on what the patterns leave
 CACHE_WORDS = 1_000_000  # some 30 MB
+ENCODED_AT_ONCE = 4096  # the library holds about a kB for each
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -281,7 +283,10 @@ class Encoder:
         if len(missing):
             keys, at, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
             raw, s, e = w.data.tobytes(), w.starts[missing[at]].tolist(), w.ends[missing[at]].tolist()
-            tokens = [x.ids for x in self.model.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in zip(s, e, strict=True)], add_special_tokens=False)]
+            tokens = []
+            for i in range(0, len(s), ENCODED_AT_ONCE):
+                some = [raw[a:b].decode("utf-8") for a, b in zip(s[i : i + ENCODED_AT_ONCE], e[i : i + ENCODED_AT_ONCE], strict=True)]
+                tokens += [array("I", x.ids) for x in self.model.encode_batch_fast(some, add_special_tokens=False)]
             row[missing] = self._add(keys, tokens)[which.reshape(-1)]
         begin, n = self.begin[row], self.many[row]
         grown = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n)])
@@ -340,7 +345,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id
         seen, task = np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
         for batch in batches:
             encode = encoder(tokenizer_path)
-            for part in words.blocks(batch, "text", 4 << 20):
+            for part in words.blocks(batch, "text", 2 << 20):
                 ids, ptr = encode(part.column(1))
                 total = np.diff(ptr) + 1
                 many = -(-total // capacity)
