@@ -38,7 +38,7 @@ ANCHOR = 8
 SAMPLE_ROWS = 20_000  # documents, about, whose anchors show which are frequent
 FREQUENT = 0.002  # part of the sampled documents; it decides how suffixes are split, not what is found
 FREQUENT_MOST = 100_000
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 HELD = 300_000  # windows under frequent anchors that a task holds before it merges equal ones
 
 BY_ANCHOR, BY_WINDOW, MARKED = 0, 1, 2

@@ -69,6 +69,6 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 1 << 22) -> int:
+def buckets_for(df: DataFrame, bytes_each: int, least: int = 64, most: int = 1 << 22) -> int:
     """How many groups of about bytes_each the rows of df make."""
     return max(least, min(most, -(-plan_bytes(df) // bytes_each)))
