@@ -107,12 +107,52 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, similarity=80)
 
 
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), sh as (
+  select distinct doc_id, array_to_string(words[p : p + 3], ' ') as gram
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as p from w where len(words) > 0)
+), sizes as (
+  select doc_id, count(*) as n from sh group by 1
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from sh a join sh b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)
+), edges as (
+  select a as u, b as v from links union all select b, a from links
+), reach(doc_id, other) as (
+  select doc_id, doc_id from w union select doc_id, v from reach join edges on u = other
+)
+select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id, min(other) = doc_id as kept
+from reach left join sizes using (doc_id) group by doc_id
+"""
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 20 words or more that start earlier too."""
     docs = _table(spark, sf_dir, "documents")
     return repeats.kept_words(docs, repeats.repeats(docs, window=20))
 
 
+OP7_SQL = r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), win as (
+  select doc_id, s, array_to_string(words[s + 1 : s + 20], ' ') as win from (select doc_id, words, unnest(range(0, len(words) - 19)) as s from w)
+), rep as (
+  select doc_id, s from (select doc_id, s, row_number() over (partition by win order by doc_id, s) as nth from win) where nth > 1
+), gone as (
+  select distinct doc_id, p from (select doc_id, unnest(range(s, s + 20)) as p from rep)
+), kept as (
+  select doc_id, string_agg(word, ' ' order by p) as text
+  from (select doc_id, p, words[p + 1] as word from (select doc_id, words, unnest(range(0, len(words))) as p from w)) anti join gone using (doc_id, p) group by doc_id
+)
+select w.doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from w left join (select doc_id, count(*) as n from gone group by 1) using (doc_id) left join kept using (doc_id)
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -163,4 +203,4 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_urls": op3_urls, "op4_near_dups": op4_near_dups, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_repeats": op7_repeats, "op8_packing": op8_packing, "op9_licenses": op9_licenses, "op10_tokens": op10_tokens}
-ORACLES = {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op3_urls": OP3_SQL, "op5_decontaminate": OP5_SQL}
+ORACLES = {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op3_urls": OP3_SQL, "op4_near_dups": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_repeats": OP7_SQL}
