@@ -7,7 +7,9 @@ squared.  Two sets of similarity s meet in some table unless all of U or all of
 miss, with probability 1 - (1 - s^ROWS)^BANDS each.
 
 The pair key is looked up in two steps: sets meet by a key of U, and among those
-by the keys of V, which travel with them, 8 bits of each minhash.  What meets is
+by the keys of V, which travel with them, 8 bits of each minhash.  Sets whose key
+of U is frequent meet by the whole pair key at once, and where that is frequent
+too, in blocks, each two of which meet once; so no task gathers a large family.  What meets is
 weighed by those bits, and a spanning forest of what may link is kept.  Within
 each tree, sets are compared in full.
 """
@@ -34,6 +36,11 @@ LEAST_AGREE = 40  # of N minhashes; at a similarity of 0.8 fewer agree once in a
 BLOCK = 512  # sets of a block of a large tree, at most about
 BLOCK_SHINGLES = 500_000  # and shingles of its sets
 TASK_BYTES = 8 << 20
+SAMPLE_ROWS = 20_000  # sets, about, whose keys show which are frequent
+FREQUENT = 0.002  # part of the sampled sets; it decides how sets are dealt out, not what is found
+FREQUENT_LEAST = 32  # sets of the sample, at least
+FREQUENT_MOST = 100_000
+MEET = 2048  # sets under a frequent pair key that meet at once, about
 
 _MULTIPLY = words.mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = words.mix(np.arange(1001, 1001 + N, dtype=np.uint64))
@@ -110,19 +117,98 @@ def _sketches(k: int):
     return run
 
 
-def _to_bands(buckets: int):
-    """A record for each key of U: the key, the set, and the low bits of all minhashes."""
+def pair_keys(u: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Keys of the tables (i, j) for one i: the key of U with each key of V, a column for each j."""
+    v = low[:, BANDS * ROWS :].reshape(len(low), BANDS, ROWS).astype(np.uint64)
+    number = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for r in range(ROWS):
+        number = number * np.uint64(256) + v[:, :, r]
+    with np.errstate(over="ignore"):
+        return words.mix(u[:, None] ^ words.mix(number))
+
+
+def _read(column) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), dtype=PACKED) for x in column]) if len(column) else np.empty(0, dtype=PACKED)
+
+
+def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Place of each key in the sorted found, -1 where it is not there."""
+    if not len(found):
+        return np.full(keys.shape, -1)
+    at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+    return np.where(found[at] == keys, at, -1)
+
+
+def frequent_keys(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of U that many sampled sets have; sorted pair keys under those that many have; blocks for each of these."""
+    total = reps.count()
+    part = min(1.0, SAMPLE_ROWS / max(1, total))
+    sample = reps.select("sketch").sample(fraction=part, seed=5)
+    least = max(FREQUENT_LEAST, FREQUENT * min(total, SAMPLE_ROWS))
+
+    def often(keys, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = words.distinct_counts(keys(_read(batch.column(0))))
+                yield pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(h[1])], names=["h", "n"])
+
+        counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        # each is a given part of the sample's keys, which bounds their number whatever the corpus's size
+        got = counted.where(F.col("n") >= limit).orderBy(F.desc("n")).limit(FREQUENT_MOST).toArrow()
+        h, n = got.column("h").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy()
+        order = np.argsort(h)
+        return h[order], n[order]
+
+    hot, _ = often(lambda x: x["keys"].reshape(-1), least)
+    if not len(hot):
+        return hot, hot, np.empty(0, dtype=np.int64)
+
+    def pairs(x: np.ndarray) -> np.ndarray:
+        out = []
+        for i in range(BANDS):
+            mine = _among(x["keys"][:, i], hot) >= 0
+            out.append(pair_keys(x["keys"][mine, i], x["low"][mine]).reshape(-1))
+        return np.concatenate(out)
+
+    both, n = often(pairs, max(FREQUENT_LEAST, MEET * part))
+    return hot, both, np.maximum(1, np.ceil(n / part / MEET)).astype(np.int64)
+
+
+def _to_bands(buckets: int, frequent):
+    """A record for each key that sets meet by: the key, the set, and the low bits of all minhashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, both, blocks = frequent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            all_h = np.concatenate([np.frombuffer(x.as_buffer(), dtype=PACKED) for x in batch.column(1)])
-            out = np.empty(len(all_h) * BANDS, dtype=SKETCH)
-            out["rep"] = np.tile(batch.column(0).to_numpy(), BANDS)
-            out["low"] = np.tile(all_h["low"], (BANDS, 1))
-            out["key"] = all_h["keys"].T.reshape(-1)
-            yield from blobs.send((out["key"] % np.uint64(buckets)).astype(np.int64), out)
+            x, rep = _read(batch.column(1)), batch.column(0).to_numpy()
+            for i in range(BANDS):
+                u = x["keys"][:, i]
+                often = _among(u, hot) >= 0
+                keys, rows = [u[~often]], [np.flatnonzero(~often)]
+                if often.any():
+                    pair = pair_keys(u[often], x["low"][often])
+                    row = np.repeat(np.flatnonzero(often), BANDS)
+                    pair = pair.reshape(-1)
+                    at = _among(pair, both)
+                    many = np.where(at >= 0, blocks[np.maximum(at, 0)] if len(blocks) else 1, 1)
+                    keys.append(pair[many == 1])
+                    rows.append(row[many == 1])
+                    # a set of block b meets each block q in the pair (b, q)
+                    pair, row, n = pair[many > 1], row[many > 1], many[many > 1]
+                    b = (words.mix(rep[row].astype(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+                    q = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    b, wide = np.repeat(b, n), np.repeat(n, n)
+                    two = np.minimum(b, q) * wide + np.maximum(b, q) + 1
+                    keys.append(words.mix(np.repeat(pair, n) ^ words.mix(two.astype(np.uint64))))
+                    rows.append(np.repeat(row, n))
+                key, at = np.concatenate(keys), np.concatenate(rows)
+                for c in range(0, len(key), 1 << 16):
+                    out = np.empty(min(1 << 16, len(key) - c), dtype=SKETCH)
+                    out["key"] = key[c : c + (1 << 16)]
+                    out["rep"], out["low"] = rep[at[c : c + (1 << 16)]], x["low"][at[c : c + (1 << 16)]]
+                    yield from blobs.send((out["key"] % np.uint64(buckets)).astype(np.int64), out)
 
     return run
 
@@ -183,8 +269,12 @@ def _meet(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         child = np.flatnonzero(root != np.arange(n))
         out_a.append(rep[root[child]])
         out_b.append(rep[child])
+    # one forest for all keys of the bucket; its roots are the smallest ids, so that buckets give equal edges
     a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (out_a, out_b))
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    ids = words.distinct(np.concatenate([a, b]))
+    root = _forest(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
+    child = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[root[child]]), pa.array(ids[child])], names=["a", "b"])
 
 
 def _compare(sets: list[np.ndarray], left: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +361,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
     # equal sets are one from here on
     reps = store.materialise(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sets")
     buckets = store.buckets_for(reps, TASK_BYTES // 8)
-    bands = reps.select("rep", "sketch").mapInArrow(_to_bands(buckets), blobs.SCHEMA)
+    frequent = spark.sparkContext.broadcast(frequent_keys(reps))
+    bands = reps.select("rep", "sketch").mapInArrow(_to_bands(buckets, frequent), blobs.SCHEMA)
     meets = blobs.each_bucket(bands, _meet, SKETCH, "a long, b long")
     meets = store.materialise(meets.distinct(), "meets")
 
@@ -287,7 +378,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
     # one text of each set
     texts = source.where("id is not null").withColumnRenamed("id", "rep").join(spread.hint("merge"), "rep")
     groups = store.buckets_for(docs.select(F.col(text_col)), TASK_BYTES)
-    texts = texts.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("tree"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("tree", "pair"), F.lit(groups))))
+    texts = texts.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("tree"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("tree", "pair"), F.lit(64 * groups)) + groups))
     links = texts.select("bucket", "rep", "tree", "pair", "block", "text").groupBy("bucket").applyInArrow(_confirm(shingle, similarity), "a long, b long")
     # an id that several sets have joins them
     several = full.groupBy("id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("id", "d")

@@ -176,3 +176,10 @@ def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values, by one sort."""
     x = np.sort(x)
     return x[np.concatenate([np.ones(1, dtype=bool), x[1:] != x[:-1]])] if len(x) else x
+
+
+def distinct_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each is there."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([np.ones(1, dtype=bool), x[1:] != x[:-1]])) if len(x) else np.empty(0, dtype=np.int64)
+    return x[first], np.diff(np.append(first, len(x))).astype(np.int64)

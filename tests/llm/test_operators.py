@@ -50,6 +50,26 @@ def test_near_duplicates(docs_of, corpus, monkeypatch, block):
     assert {r.doc_id for r in left.collect()} == {i for i in root if root[i] == i}
 
 
+@pytest.mark.parametrize(("least", "meet"), [(4, 2048), (4, 8)])
+def test_near_duplicates_frequent_keys(docs_of, monkeypatch, least, meet):
+    """A large family of near copies: its keys count as frequent, and with a small meet go in blocks."""
+    monkeypatch.setattr(near_dups, "FREQUENT_LEAST", least)
+    monkeypatch.setattr(near_dups, "MEET", meet)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(rng.integers(0, 8)):
+            w[rng.integers(len(w))] = f"v{rng.integers(400)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"x{rng.integers(50)}" for _ in range(40)) for _ in range(60)]
+    _, root = classes(texts, range(len(texts)), 4, 80)
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs_of(texts), shingle=4).collect()}
+    assert got == root
+    assert len(set(root.values())) > 60
+
+
 def test_near_duplicates_repeated_and_null_ids(docs_of):
     a, b, c = ("a b c d e f g h", "p q r s t u v w", "k l m n o i j z")
     ids, texts = [5, 5, 3, 9, 9, None, 2], [a, b, b, a, a, a, c]
