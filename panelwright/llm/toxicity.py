@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import store, words
 
 TRAIN_ROWS = 4000  # labelled rows, at most about, that the classifier is fitted on
-TRAIN_BYTES = 24_000_000  # and at most so much text of them
+TRAIN_BYTES = 14_000_000  # and at most so much text of them
 PREFIXES = (4, 5, 6, 7)  # bytes of a word that have an embedding of their own
 SLOTS = 1 << 22
 
@@ -88,7 +88,7 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size:
     kept = []
     for h in hashes:
         keys, which = np.unique(h, return_inverse=True)
-        of_docs = np.unique(which.reshape(-1).astype(np.int64) * len(ptr) + doc) // len(ptr)
+        of_docs = words.distinct(which.reshape(-1).astype(np.int64) * len(ptr) + doc) // len(ptr)
         kept.append(keys[(np.bincount(of_docs, minlength=len(keys)) > max(2, least_part * len(ptr))) & (keys != 0)])
     keys = np.unique(np.concatenate(kept))
     find = _Lookup(keys)
