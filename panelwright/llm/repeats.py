@@ -114,6 +114,27 @@ def _marks(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of some windows start after an equal one."""
+    order = np.lexsort((at, doc, h2, h1))
+    same = np.zeros(len(order), dtype=bool)
+    x, y = h1[order], h2[order]
+    same[1:] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = same
+    return out
+
+
+def _send_marks(marks: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Marks among the prefixes, by document; long runs in parts."""
+    many = -(-marks["many"].astype(np.int64) // 60_000)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    m = np.repeat(np.arange(len(marks)), many)
+    out = np.empty(len(m), dtype=PREFIX)
+    out["h"], out["doc"], out["at"], out["many"], out["kind"] = 0, marks["doc"][m], marks["at"][m] + nth * 60_000, np.minimum(marks["many"][m] - nth * 60_000, 60_000), MARKED
+    yield from blobs.send((words.mix(out["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), out)
+
+
 def _prefixes(window: int, anchor: int, frequent, buckets: int):
     """A record for each prefix of each text's suffixes."""
 
@@ -136,6 +157,14 @@ def _prefixes(window: int, anchor: int, frequent, buckets: int):
                 first = _runs(s, a, r)
                 out = np.empty(len(first), dtype=PREFIX)
                 out["h"], out["doc"], out["at"], out["many"], out["kind"] = g[a[first]], ids[r[first]], s[first], np.diff(np.append(first, len(s))), BY_ANCHOR
+                # a word repeated on and on gives a passage for each window: equal ones of the block count once
+                single = np.flatnonzero(out["many"] == 1)
+                at = starts[cold][first[single]]
+                later = _later(words.windows(h, window, salt=1)[at], words.windows(h, window, salt=2)[at], out["doc"][single], out["at"][single])
+                gone = single[later]
+                if len(gone):
+                    yield from _send_marks(_marks(out["doc"][gone], out["at"][gone]), buckets)
+                    out = np.delete(out, gone)
                 yield from blobs.send((out["h"] % np.uint64(buckets)).astype(np.int64), out)
                 if hot.any():
                     at = starts[hot]
@@ -144,13 +173,7 @@ def _prefixes(window: int, anchor: int, frequent, buckets: int):
         out = np.empty(len(h1), dtype=PREFIX)
         out["h"], out["doc"], out["at"], out["many"], out["kind"] = h1, doc, at, 1, BY_WINDOW
         yield from blobs.send((out["h"] % np.uint64(buckets)).astype(np.int64), out)
-        marks = np.concatenate(held.marks)
-        many = -(-marks["many"].astype(np.int64) // 60_000)
-        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        m = np.repeat(np.arange(len(marks)), many)
-        out = np.empty(len(m), dtype=PREFIX)
-        out["h"], out["doc"], out["at"], out["many"], out["kind"] = 0, marks["doc"][m], marks["at"][m] + nth * 60_000, np.minimum(marks["many"][m] - nth * 60_000, 60_000), MARKED
-        yield from blobs.send((words.mix(out["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), out)
+        yield from _send_marks(np.concatenate(held.marks), buckets)
 
     return run
 

@@ -114,6 +114,13 @@ def test_repeats_frequent_passages(docs_of):
     assert got == {i: v[1] for i, v in removed(texts, range(len(texts)), 20).items()}
 
 
+def test_repeats_of_one_word(docs_of):
+    rng = np.random.default_rng(10)
+    texts = ["na " * int(n) + f"x{i} " * 3 + "na " * int(rng.integers(10, 60)) for i, n in enumerate(rng.integers(1, 300, 40))] + ["ha na " * 50] * 3
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in repeats.kept_words(docs_of(texts), repeats.repeats(docs_of(texts))).collect()}
+    assert got == {i: v[1:3] for i, v in removed(texts, range(len(texts)), 20).items()}
+
+
 def test_remove_repeats(docs_of, corpus):
     docs = docs_of(corpus)
     out = repeats.remove(docs, window=20)
