@@ -10,7 +10,8 @@ to choose the threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from . import store, words
 
 TRAIN_ROWS = 4000  # labelled rows, at most about, that the classifier is fitted on
-TRAIN_BYTES = 14_000_000  # and at most so much text of them
+PIECE_BYTES = 1 << 20  # of text whose words' hashes are held at once in training, about; longer texts are cut at a space
+PIECE_WORDS = 1 << 16  # words whose responses are held at once in training
 PREFIXES = (4, 5, 6, 7)  # bytes of a word that have an embedding of their own
 SLOTS = 1 << 22
 
@@ -71,30 +73,108 @@ class _Lookup:
         return np.where(self.keys[rows] == hashes, rows, 0)
 
 
+class _Texts:
+    """Texts in a scratch file, read one at a time and any number of times."""
+
+    def __init__(self):
+        self.file, self.at = tempfile.TemporaryFile(), []
+
+    def add(self, text: bytes) -> None:
+        self.at.append((self.file.tell(), len(text)))
+        self.file.write(text)
+
+    def __iter__(self) -> Iterator[bytes]:
+        for start, n in self.at:
+            self.file.seek(start)
+            yield self.file.read(n)
+
+
+class _Rows:
+    """Embedding rows of the words of all texts in a scratch file, a row of it for each word; ptr is where each text begins."""
+
+    def __init__(self, kinds: int):
+        self.file, self.kinds = tempfile.TemporaryFile(), kinds
+        self.ptr = np.zeros(1, dtype=np.int64)
+
+    def add(self, rows: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(rows.T, dtype=np.int32).tobytes())
+
+    def read(self, start: int, stop: int) -> np.ndarray:
+        self.file.seek(4 * self.kinds * int(start))
+        return np.frombuffer(self.file.read(4 * self.kinds * int(stop - start)), dtype=np.int32).reshape(-1, self.kinds).T
+
+
+def _pieces(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """All texts, about PIECE_BYTES at a time and cut at spaces only, and which text each piece is of."""
+    which, out, held = [], [], 0
+    for i, text in enumerate(texts):
+        a = 0
+        while a == 0 or a < len(text):
+            b = text.find(b" ", a + PIECE_BYTES)
+            b = max(1, len(text)) if b < 0 else b
+            which.append(i)
+            out.append(text[a:b])
+            held, a = held + b - a, b
+            if held >= PIECE_BYTES:
+                yield np.array(which), pa.array(out, type=pa.large_binary()).view(pa.large_string())
+                which, out, held = [], [], 0
+    if which:
+        yield np.array(which), pa.array(out, type=pa.large_binary()).view(pa.large_string())
+
+
+def _frequent(texts: Iterable[bytes], more_than: float) -> np.ndarray:
+    """Hashes, but 0, that more than so many texts have as one kind; a text counts once however many pieces it has."""
+    kinds = 1 + len(PREFIXES)
+    found = [(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))] * kinds
+    new: list[list] = [[] for _ in range(kinds)]
+    last, seen = -1, [np.empty(0, dtype=np.uint64)] * kinds
+
+    def merge() -> None:
+        for i in range(kinds):
+            h, n = (np.concatenate(x) for x in zip(found[i], *new[i], strict=True))
+            keys, at = np.unique(h, return_inverse=True)
+            found[i], new[i] = (keys, np.bincount(at.reshape(-1), weights=n, minlength=len(keys)).astype(np.int64)), []
+
+    for which, pieces in _pieces(texts):
+        hashes, ptr = features(pieces)
+        doc = np.repeat(which, np.diff(ptr))
+        for i, h in enumerate(hashes):
+            keys, at = np.unique(h, return_inverse=True)
+            pairs = words.distinct(at.reshape(-1).astype(np.int64) * (which[-1] + 1) + doc)
+            of, keys = pairs % (which[-1] + 1), keys[pairs // (which[-1] + 1)]
+            fresh = (of != last) | ~np.isin(keys, seen[i])
+            new[i].append(words.distinct_counts(keys[fresh]))
+            mine = keys[of == which[-1]]
+            seen[i] = np.union1d(seen[i], mine) if which[-1] == last else mine
+        last = which[-1]
+        if sum(len(h) for x in new for h, _ in x) > sum(len(h) for h, _ in found):
+            merge()
+    merge()
+    return np.unique(np.concatenate([h[(n > more_than) & (h != 0)] for h, n in found]))
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size: int = 12, filters: int = 8, widths: tuple = (1, 2, 3), epochs: int = 5, least_part: float = 0.0025, seed: int = 5, **more) -> Model:
-    """Train on labelled texts; a fifth of them sets the thresholds of the languages.
+def fit(texts: Iterable[bytes], labels: np.ndarray, langs: list | None = None, *, size: int = 12, filters: int = 8, widths: tuple = (1, 2, 3), epochs: int = 5, least_part: float = 0.0025, seed: int = 5, **more) -> Model:
+    """Train on labelled texts, which are read twice; a fifth of them sets the thresholds of the languages.
 
     Hashes that fewer than 3 of the texts have, or a smaller part of them than
     least_part, are left to the common row of unknown words.  One class only, or no texts, gives a model whose
-    scores are near that class's rate.
+    scores are near that class's rate.  All of every text is learned from:
+    words' rows go to a scratch file, and memory holds a piece of it at a time
+    beside the distinct hashes.
     """
     rng = np.random.default_rng(seed)
-    hashes, ptr = features(texts)
-    doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    kept = []
-    for h in hashes:
-        keys, which = np.unique(h, return_inverse=True)
-        of_docs = words.distinct(which.reshape(-1).astype(np.int64) * len(ptr) + doc) // len(ptr)
-        kept.append(keys[(np.bincount(of_docs, minlength=len(keys)) > max(2, least_part * len(ptr))) & (keys != 0)])
-    keys = np.unique(np.concatenate(kept))
-    find = _Lookup(keys)
-    rows = np.stack([find(h) for h in hashes])
-    del hashes, kept
     y = np.asarray(labels, dtype=np.float32)
+    keys = _frequent(texts, max(2, least_part * (len(y) + 1)))
+    find, known, n_words = _Lookup(keys), _Rows(1 + len(PREFIXES)), np.zeros(len(y), dtype=np.int64)
+    for which, pieces in _pieces(texts):
+        hashes, ptr = features(pieces)
+        known.add(np.stack([find(h) for h in hashes]))
+        np.add.at(n_words, which, np.diff(ptr))
+    known.ptr = np.concatenate([known.ptr, np.cumsum(n_words)])
     vectors = (rng.standard_normal((len(keys) + 1, size)) * 0.1).astype(np.float32)
     vectors[0] = 0
     m = Model(keys, vectors, [(rng.standard_normal((w, size, filters)) * 0.3).astype(np.float32) for w in widths], [np.zeros(filters, dtype=np.float32) for _ in widths], (rng.standard_normal(len(widths) * filters) * 0.3).astype(np.float32), 0.0)
@@ -102,22 +182,23 @@ def fit(texts: pa.Array, labels: np.ndarray, langs: list | None = None, *, size:
     m.out_bias = float(np.log(rate / (1 - rate)))
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
-    _begin(m, rows, doc, y, used)
+    _begin(m, known, y, used)
     if 0 < y[used].sum() < len(used):
-        _descend(m, rows, ptr, y, used, epochs, rng, **more)
-    _calibrate(m, texts, y, langs, held)
+        _descend(m, known, y, used, epochs, rng, **more)
+    _calibrate(m, known, y, langs, held)
     return m
 
 
-def _begin(m: Model, rows: np.ndarray, doc: np.ndarray, y: np.ndarray, used: np.ndarray) -> None:
+def _begin(m: Model, known: _Rows, y: np.ndarray, used: np.ndarray) -> None:
     """First coordinate of an embedding: how far its texts' labels are from the rate, in standard deviations; filters begin by reading it."""
-    mine = np.zeros(len(y), dtype=bool)
-    mine[used] = True
     rate = float(y[used].mean()) if len(used) else 0.0
-    pairs = words.distinct(np.concatenate([r[mine[doc]].astype(np.int64) * len(y) + doc[mine[doc]] for r in rows]))
-    key, of = pairs // max(1, len(y)), pairs % max(1, len(y))
-    n = np.bincount(key, minlength=len(m.vectors))
-    hits = np.bincount(key, weights=y[of], minlength=len(m.vectors))
+    n, hits = np.zeros(len(m.vectors), dtype=np.int64), np.zeros(len(m.vectors))
+    for d in used:
+        has = np.zeros(len(m.vectors), dtype=bool)
+        for a in range(known.ptr[d], known.ptr[d + 1], PIECE_WORDS):
+            has[known.read(a, min(a + PIECE_WORDS, known.ptr[d + 1]))] = True
+        n += has
+        hits += has * y[d]
     m.vectors[:, 0] = (hits - n * rate) / np.sqrt(n * rate * (1 - rate) + 1) / 10
     m.vectors[0] = 0
     for f in m.filters:
@@ -125,9 +206,50 @@ def _begin(m: Model, rows: np.ndarray, doc: np.ndarray, y: np.ndarray, used: np.
     m.out[:] = np.abs(m.out)
 
 
-def _descend(m: Model, known, ptr, y, used, epochs, rng, batch: int = 32, least_steps: int = 500, rate: float = 0.15, power: float = 0.5) -> None:
+def _stretches(ptr: np.ndarray, docs: np.ndarray) -> Iterator[np.ndarray]:
+    """Columns (place in docs, first word, end) of stretches of the docs, PIECE_WORDS at a time at most; those of one doc come apart."""
+    out, held = [], 0
+    for i, d in enumerate(docs):
+        for a in range(ptr[d], max(ptr[d] + 1, ptr[d + 1]), PIECE_WORDS):
+            b = min(a + PIECE_WORDS, ptr[d + 1])
+            if out and (held + b - a > PIECE_WORDS or out[-1][0] == i):
+                yield np.array(out).T
+                out, held = [], 0
+            out.append((i, a, b))
+            held += b - a
+    if out:
+        yield np.array(out).T
+
+
+def _pooled(m: Model, known: _Rows, docs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Largest response of each filter over each of docs, 0 at least; for each width the rows (kind, word of the filter, doc, filter) that it came from."""
+    pad, n_filters = max(len(f) for f in m.filters), m.filters[0].shape[2]
+    pooled = np.full((len(docs), m.out.size), -1e30, dtype=np.float32)
+    under = [np.zeros((known.kinds, len(f), len(docs), n_filters), dtype=np.int32) for f in m.filters]
+    for of, start, stop in _stretches(known.ptr, docs):
+        # filters that begin in a stretch reach into the words after it
+        reach = np.minimum(stop + pad - 1, known.ptr[docs[of] + 1])
+        place, first, blank = _padded(np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(reach - start)]), pad)
+        row = np.zeros((known.kinds, len(blank)), dtype=np.int32)
+        row[:, place] = np.concatenate([known.read(a, b) for a, b in zip(start, reach, strict=True)], axis=1)
+        for a, b in zip(first + stop - start, first + reach - start, strict=True):
+            blank[a:b] = True
+        x = m.vectors[row].mean(axis=0)
+        ends = np.append(first[1:], len(blank))
+        for i, (f, bias) in enumerate(zip(m.filters, m.biases, strict=True)):
+            r = _responses(x, f, bias, blank)
+            top = np.stack([s + r[s:e].argmax(0) for s, e in zip(first, ends, strict=True)])
+            value = r[top, np.arange(n_filters)]
+            d, e = np.nonzero(value > pooled[of, i * n_filters : (i + 1) * n_filters])
+            pooled[of[d], i * n_filters + e] = value[d, e]
+            for k in range(len(f)):
+                under[i][:, k, of[d], e] = row[:, top[d, e] + k]
+    return np.maximum(pooled, 0), under
+
+
+def _descend(m: Model, known: _Rows, y, used, epochs, rng, batch: int = 32, least_steps: int = 500, rate: float = 0.15, power: float = 0.5) -> None:
     """Adagrad over small batches; only the largest response of a filter passes a gradient back."""
-    widths, pad = [len(f) for f in m.filters], max(len(f) for f in m.filters)
+    widths, size = [len(f) for f in m.filters], m.vectors.shape[1]
     n_filters = m.filters[0].shape[2]
     sums = {"v": np.full(m.vectors.shape, 1e-2, dtype=np.float32), "o": np.full(m.out.shape, 1e-2, dtype=np.float32), "f": [np.full(f.shape, 1e-2, dtype=np.float32) for f in m.filters], "b": [np.full(x.shape, 1e-2, dtype=np.float32) for x in m.biases]}
     bias_sum, weight = 1e-2, min(10.0, float((1 - y[used]).sum() / max(1.0, y[used].sum())) ** power)
@@ -135,42 +257,28 @@ def _descend(m: Model, known, ptr, y, used, epochs, rng, batch: int = 32, least_
         rng.shuffle(used)
         for at in range(0, len(used), batch):
             docs = np.sort(used[at : at + batch])
-            n = (ptr[docs + 1] - ptr[docs]).astype(np.int64)
-            own = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(n)])
-            source = np.arange(own[-1]) + np.repeat(ptr[docs] - own[:-1], n)
-            place, first, blank = _padded(own, pad)
-            row = np.zeros((len(known), len(blank)), dtype=np.int32)
-            row[:, place] = known[:, source]
-            x = m.vectors[row].mean(axis=0)
-            pooled, where = np.empty((len(docs), m.out.size), dtype=np.float32), []
-            ends = np.append(first[1:], len(blank))
-            for i, (f, bias) in enumerate(zip(m.filters, m.biases, strict=True)):
-                r = _responses(x, f, bias, blank)
-                top = np.stack([s + r[s:e].argmax(0) for s, e in zip(first, ends, strict=True)])
-                where.append(top)
-                pooled[:, i * n_filters : (i + 1) * n_filters] = np.maximum(r[top, np.arange(n_filters)], 0)
+            pooled, under = _pooled(m, known, docs)
             p = _sigmoid(pooled @ m.out + m.out_bias)
             g = ((p - y[docs]) * np.where(y[docs] > 0, weight, 1.0) / len(docs)).astype(np.float32)
             d_out = pooled.T @ g + 1e-4 * m.out
             d_pool = np.where(pooled > 0, g[:, None] * m.out, 0).astype(np.float32)
             d_x, rows = [], []
             for i, w in enumerate(widths):
-                top, d = where[i], d_pool[:, i * n_filters : (i + 1) * n_filters]
+                d = d_pool[:, i * n_filters : (i + 1) * n_filters]
                 d_f = np.zeros_like(m.filters[i])
                 for k in range(w):
-                    at_k = np.minimum(top + k, len(blank) - 1)
-                    d_f[k] = np.einsum("df,dfe->ef", d, x[at_k])
-                    d_x.append((d[:, :, None] * m.filters[i][k].T[None]).reshape(-1, x.shape[1]))
-                    rows.append(at_k.reshape(-1))
+                    d_f[k] = np.einsum("df,dfe->ef", d, m.vectors[under[i][:, k]].mean(axis=0))
+                    d_x.append((d[:, :, None] * m.filters[i][k].T[None]).reshape(-1, size))
+                    rows.append(under[i][:, k].reshape(known.kinds, -1))
                 sums["f"][i] += d_f**2
                 m.filters[i] -= rate * d_f / np.sqrt(sums["f"][i])
                 d_b = d.sum(0)
                 sums["b"][i] += d_b**2
                 m.biases[i] -= rate * d_b / np.sqrt(sums["b"][i])
-            d_x, rows = np.concatenate(d_x), np.concatenate(rows)
-            touched, inverse = np.unique(row[:, rows], return_inverse=True)
-            d_v = np.zeros((len(touched), x.shape[1]), dtype=np.float32)
-            np.add.at(d_v, inverse.reshape(-1), np.tile(d_x / len(known), (len(known), 1)))
+            d_x, rows = np.concatenate(d_x), np.concatenate(rows, axis=1)
+            touched, inverse = np.unique(rows, return_inverse=True)
+            d_v = np.zeros((len(touched), size), dtype=np.float32)
+            np.add.at(d_v, inverse.reshape(-1), np.tile(d_x / known.kinds, (known.kinds, 1)))
             d_v[touched == 0] = 0
             sums["v"][touched] += d_v**2
             m.vectors[touched] -= rate * d_v / np.sqrt(sums["v"][touched])
@@ -207,11 +315,11 @@ def score(m: Model, find: _Lookup, texts) -> np.ndarray:
     return _sigmoid(out)
 
 
-def _calibrate(m: Model, texts, y, langs, held) -> None:
+def _calibrate(m: Model, known: _Rows, y, langs, held) -> None:
     """The threshold of each language with 10 held texts or more of either class: between its classes' scores where they are apart, else where most are right."""
     if langs is None or not len(held):
         return
-    s = np.concatenate([score(m, _Lookup(m.keys), texts.take(pa.array(held[i : i + 200]))) for i in range(0, len(held), 200)])
+    s = _sigmoid(np.concatenate([_pooled(m, known, held[i : i + 200])[0] for i in range(0, len(held), 200)]).astype(np.float64) @ m.out + m.out_bias)
     of = np.asarray([x or "" for x in langs], dtype=object)[held]
     for lang in sorted(set(of)):
         mine = of == lang
@@ -233,6 +341,9 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fit on about rows labelled documents, chosen by a hash of the id, none of them held out.
 
+    The hash alone chooses, whatever a text's length, and all of a chosen text
+    is learned from.  The rows come partition by partition into a scratch file
+    of the driver's, which takes their text and 20 bytes for each word of it.
     Labels that are null, and ids without a document, are left out; of repeated
     ids one row counts.  No labels at all give a model that scores everything
     the same.
@@ -242,13 +353,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     part = min(1.0, rows / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20))).dropDuplicates(["id"])
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    wanted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang"))
-    got = chosen.join(wanted, "id").dropDuplicates(["id"]).toArrow().sort_by("id")
-    texts = got.column("text").combine_chunks()
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-    size = np.cumsum(np.diff(words.buffers(texts)[1])) if len(texts) else np.zeros(0)
-    n = int(np.searchsorted(size, TRAIN_BYTES, side="right"))
-    return fit(texts[:n], got.column("y").to_numpy()[:n], got.column("lang").to_pylist()[:n] if lang_col else None)
+    wanted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), lang.alias("lang"))
+    texts, got = _Texts(), []
+    for r in chosen.join(wanted, "id").dropDuplicates(["id"]).toLocalIterator():
+        texts.add(bytes(r["text"]))
+        got.append((r["id"], r["y"], r["lang"]))
+    order = sorted(range(len(got)), key=lambda i: got[i][0])
+    texts.at = [texts.at[i] for i in order]
+    return fit(texts, np.array([got[i][1] for i in order], dtype=np.float32), [got[i][2] for i in order] if lang_col else None)
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
