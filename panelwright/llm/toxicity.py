@@ -351,7 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     total = known.count()
     part = min(1.0, rows / max(1, total))
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20))).dropDuplicates(["id"])
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 62)) < int(part * (1 << 62))).dropDuplicates(["id"])
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     wanted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), lang.alias("lang"))
     texts, got = _Texts(), []

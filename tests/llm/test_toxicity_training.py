@@ -35,3 +35,10 @@ def test_texts_in_pieces_give_the_same_model(rows, monkeypatch):
     assert (whole.keys == cut.keys).all() and whole.thresholds.keys() == cut.thresholds.keys() == {"en"}
     np.testing.assert_allclose(whole.vectors, cut.vectors, atol=1e-4)
     np.testing.assert_allclose(whole.out, cut.out, atol=1e-4)
+
+
+def test_a_small_part_of_many_labels_is_sampled(spark, monkeypatch):
+    many = spark.range(10_000_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, langs: len(labels))
+    docs = many.selectExpr("doc_id", "'a' as text")
+    assert 1 <= toxicity.train(docs, many, lang_col=None, rows=5) <= 15
