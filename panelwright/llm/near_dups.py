@@ -1,10 +1,11 @@
 """Near duplicates by MinHash with tensored bands, confirmed on full sets.
 
-Two small collections, U and V, hold BANDS keys each, a key being ROWS minhashes
-of its own.  Table (i, j) is keyed by the pair of key i of U and key j of V, so
-BANDS squared tables cost 2 * BANDS * ROWS minhashes, not ROWS times 2 * BANDS
-squared.  Two sets of similarity s meet in some table unless all of U or all of V
-miss, with probability 1 - (1 - s^ROWS)^BANDS each.
+Two small collections, U and V, hold b keys each, a key being r minhashes of its
+own.  Table (i, j) is keyed by the pair of key i of U and key j of V, so b squared
+tables cost 2 * b * r minhashes, not r times 2 * b squared.  Two sets of
+similarity s meet in some table unless all of U or all of V miss, with
+probability 1 - (1 - s^r)^b each.  b * r is given; r is chosen by the similarity
+asked for, 3 at 0.8 and less where that would miss pairs.
 
 The pair key is looked up in two steps: sets meet by a key of U, and among those
 by the keys of V, which travel with them, 8 bits of each minhash.  Sets whose key
@@ -17,6 +18,9 @@ each tree, sets are compared in full.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,9 @@ from .components import components
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
-BANDS = 12
-ROWS = 3
-N = 2 * BANDS * ROWS
-LEAST_AGREE = 40  # of N minhashes; at a similarity of 0.8 fewer agree once in a million
+N = 72  # minhashes
+MISSED = 0.001  # of pairs just similar enough, the part at most that may share no table
+PASSED_OVER = 1e-6  # and, about, the part that may agree in too few minhashes
 BLOCK = 512  # sets of a block of a large tree, at most about
 BLOCK_SHINGLES = 500_000  # and shingles of its sets
 TASK_BYTES = 8 << 20
@@ -45,10 +48,37 @@ MEET = 2048  # sets under a frequent pair key that meet at once, about
 _MULTIPLY = words.mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = words.mix(np.arange(1001, 1001 + N, dtype=np.uint64))
 
-PACKED = np.dtype([("keys", "<u8", (BANDS,)), ("low", "u1", (N,))])
 SKETCH = np.dtype([("key", "<u8"), ("rep", "<i8"), ("low", "u1", (N,))])
 
 
+@dataclass(frozen=True)
+class Tables:
+    """Keys of U and of V, how many minhashes each is of, and how many of all minhashes must agree."""
+
+    bands: int
+    rows: int
+    least_agree: int
+
+    @cached_property
+    def packed(self) -> np.dtype:
+        return np.dtype([("keys", "<u8", (self.bands,)), ("low", "u1", (N,))])
+
+
+def tables_for(similarity: float) -> Tables:
+    """The longest keys by which pairs of that similarity, in percent, meet; an error where none are short enough."""
+    s = similarity / 100
+    if not s <= 1:
+        raise ValueError("similarity is in percent, 100 at most")
+    for rows in (3, 2, 1):
+        bands = N // (2 * rows)
+        if 1 - (1 - (1 - s**rows) ** bands) ** 2 <= MISSED:
+            fewer, least = 0.0, 0
+            while least < N and round((fewer := fewer + comb(N, least) * s**least * (1 - s) ** (N - least)) / PASSED_OVER) <= 1:
+                least += 1
+            return Tables(bands, rows, least)
+    raise ValueError(f"{N} minhashes do not find pairs of a similarity of {similarity} percent; 20 is enough")
+
+
 def shingle_sets(texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the distinct shingles of each text, all in one array, and where each text's begin.
 
@@ -95,15 +125,16 @@ def set_digest(sets: np.ndarray, ptr: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in out]
 
 
-def packed(hashes: np.ndarray) -> list[bytes]:
-    """Of each row of minhashes the keys of U, each over ROWS of them, and the low bits of all."""
-    keys = np.stack([words.windows(hashes[:, ROWS * i : ROWS * (i + 1)].reshape(-1), ROWS, salt=i)[::ROWS] for i in range(BANDS)], axis=1)
-    out = np.empty(len(hashes), dtype=PACKED)
+def packed(hashes: np.ndarray, t: Tables) -> list[bytes]:
+    """Of each row of minhashes the keys of U, and the low bits of all."""
+    r = t.rows
+    keys = np.stack([words.windows(hashes[:, r * i : r * (i + 1)].reshape(-1), r, salt=i)[::r] for i in range(t.bands)], axis=1)
+    out = np.empty(len(hashes), dtype=t.packed)
     out["keys"], out["low"] = keys, (hashes & np.uint64(255)).astype(np.uint8)
     return [x.tobytes() for x in out]
 
 
-def _sketches(k: int):
+def _sketches(k: int, t: Tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.blocks(batch, "text", 1 << 20):
@@ -111,24 +142,24 @@ def _sketches(k: int):
                 n = np.diff(ptr)
                 low = np.full(len(n), None, dtype=object)
                 if (n > 0).any():
-                    low[n > 0] = packed(sketch(sets, ptr))
+                    low[n > 0] = packed(sketch(sets, ptr), t)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(set_digest(sets, ptr), type=pa.binary()), pa.array(low.tolist(), type=pa.binary())], names=["id", "n_shingles", "digest", "sketch"])
 
     return run
 
 
-def pair_keys(u: np.ndarray, low: np.ndarray) -> np.ndarray:
+def pair_keys(u: np.ndarray, low: np.ndarray, t: Tables) -> np.ndarray:
     """Keys of the tables (i, j) for one i: the key of U with each key of V, a column for each j."""
-    v = low[:, BANDS * ROWS :].reshape(len(low), BANDS, ROWS).astype(np.uint64)
-    number = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
+    v = low[:, N // 2 :].reshape(len(low), t.bands, t.rows).astype(np.uint64)
+    number = np.arange(1, t.bands + 1, dtype=np.uint64)
+    for r in range(t.rows):
         number = number * np.uint64(256) + v[:, :, r]
     with np.errstate(over="ignore"):
         return words.mix(u[:, None] ^ words.mix(number))
 
 
-def _read(column) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), dtype=PACKED) for x in column]) if len(column) else np.empty(0, dtype=PACKED)
+def _read(column, t: Tables) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), dtype=t.packed) for x in column]) if len(column) else np.empty(0, dtype=t.packed)
 
 
 def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -139,7 +170,7 @@ def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     return np.where(found[at] == keys, at, -1)
 
 
-def frequent_keys(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_keys(reps: DataFrame, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys of U that many sampled sets have; sorted pair keys under those that many have; blocks for each of these."""
     total = reps.count()
     part = min(1.0, SAMPLE_ROWS / max(1, total))
@@ -149,7 +180,7 @@ def frequent_keys(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def often(keys, limit: float) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                h = words.distinct_counts(keys(_read(batch.column(0))))
+                h = words.distinct_counts(keys(_read(batch.column(0), t)))
                 yield pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(h[1])], names=["h", "n"])
 
         counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -165,16 +196,16 @@ def frequent_keys(reps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     def pairs(x: np.ndarray) -> np.ndarray:
         out = []
-        for i in range(BANDS):
+        for i in range(t.bands):
             mine = _among(x["keys"][:, i], hot) >= 0
-            out.append(pair_keys(x["keys"][mine, i], x["low"][mine]).reshape(-1))
+            out.append(pair_keys(x["keys"][mine, i], x["low"][mine], t).reshape(-1))
         return np.concatenate(out)
 
     both, n = often(pairs, max(FREQUENT_LEAST, MEET * part))
     return hot, both, np.maximum(1, np.ceil(n / part / MEET)).astype(np.int64)
 
 
-def _to_bands(buckets: int, frequent):
+def _to_bands(buckets: int, frequent, t: Tables):
     """A record for each key that sets meet by: the key, the set, and the low bits of all minhashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,14 +213,14 @@ def _to_bands(buckets: int, frequent):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, rep = _read(batch.column(1)), batch.column(0).to_numpy()
-            for i in range(BANDS):
+            x, rep = _read(batch.column(1), t), batch.column(0).to_numpy()
+            for i in range(t.bands):
                 u = x["keys"][:, i]
                 often = _among(u, hot) >= 0
                 keys, rows = [u[~often]], [np.flatnonzero(~often)]
                 if often.any():
-                    pair = pair_keys(u[often], x["low"][often])
-                    row = np.repeat(np.flatnonzero(often), BANDS)
+                    pair = pair_keys(u[often], x["low"][often], t)
+                    row = np.repeat(np.flatnonzero(often), t.bands)
                     pair = pair.reshape(-1)
                     at = _among(pair, both)
                     many = np.where(at >= 0, blocks[np.maximum(at, 0)] if len(blocks) else 1, 1)
@@ -229,52 +260,55 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _meet(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _meet(t: Tables):
     """Edges of a spanning forest of the sets that share a table's key and agree in enough minhashes."""
-    records = records[np.argsort(records["key"], kind="stable")]
-    key = records["key"]
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, dtype=np.int64)
-    sizes = np.diff(cut)
-    out_a, out_b = [], []
-    half = BANDS * ROWS
-    for s, n in zip(cut[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-        low, rep = records["low"][s : s + n], records["rep"][s : s + n]
-        # among sets that share a key of U, those that share a key of V: its minhashes' bits in order
-        ends_a, ends_b = [], []
-        v = low[:, half:].reshape(n, BANDS, ROWS)
-        if n <= 64:
-            ia, ib = np.triu_indices(n, 1)
-            ok = (v[ia] == v[ib]).all(2).any(1)
-            ia, ib = ia[ok], ib[ok]
-            ok = (low[ia] == low[ib]).sum(1) >= LEAST_AGREE
-            ends_a.append(ia[ok])
-            ends_b.append(ib[ok])
-        else:
-            for p in range(0, n, 256):
-                for q in range(p, n, 256):
-                    x, y = low[p : p + 256], low[q : q + 256]
-                    same = np.zeros((len(x), len(y)), dtype=np.uint8)
-                    for c in range(N):
-                        same += x[:, c][:, None] == y[:, c]
-                    ia, ib = np.nonzero(same >= LEAST_AGREE)
-                    ia, ib = ia + p, ib + q
-                    ok = ia < ib
-                    ia, ib = ia[ok], ib[ok]
-                    for w in range(0, len(ia), 1 << 16):
-                        i, j = ia[w : w + (1 << 16)], ib[w : w + (1 << 16)]
-                        ok = (v[i] == v[j]).all(2).any(1)
-                        ends_a.append(i[ok])
-                        ends_b.append(j[ok])
-        root = _forest(n, np.concatenate(ends_a), np.concatenate(ends_b))
-        child = np.flatnonzero(root != np.arange(n))
-        out_a.append(rep[root[child]])
-        out_b.append(rep[child])
-    # one forest for all keys of the bucket; its roots are the smallest ids, so that buckets give equal edges
-    a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (out_a, out_b))
-    ids = words.distinct(np.concatenate([a, b]))
-    root = _forest(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
-    child = np.flatnonzero(root != np.arange(len(ids)))
-    yield pa.RecordBatch.from_arrays([pa.array(ids[root[child]]), pa.array(ids[child])], names=["a", "b"])
+
+    def run(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        records = records[np.argsort(records["key"], kind="stable")]
+        key = records["key"]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, dtype=np.int64)
+        sizes = np.diff(cut)
+        out_a, out_b = [], []
+        for s, n in zip(cut[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            low, rep = records["low"][s : s + n], records["rep"][s : s + n]
+            # among sets that share a key of U, those that share a key of V: its minhashes' bits in order
+            ends_a, ends_b = [], []
+            v = low[:, N // 2 :].reshape(n, t.bands, t.rows)
+            if n <= 64:
+                ia, ib = np.triu_indices(n, 1)
+                ok = (v[ia] == v[ib]).all(2).any(1)
+                ia, ib = ia[ok], ib[ok]
+                ok = (low[ia] == low[ib]).sum(1) >= t.least_agree
+                ends_a.append(ia[ok])
+                ends_b.append(ib[ok])
+            else:
+                for p in range(0, n, 256):
+                    for q in range(p, n, 256):
+                        x, y = low[p : p + 256], low[q : q + 256]
+                        same = np.zeros((len(x), len(y)), dtype=np.uint8)
+                        for c in range(N):
+                            same += x[:, c][:, None] == y[:, c]
+                        ia, ib = np.nonzero(same >= t.least_agree)
+                        ia, ib = ia + p, ib + q
+                        ok = ia < ib
+                        ia, ib = ia[ok], ib[ok]
+                        for w in range(0, len(ia), 1 << 16):
+                            i, j = ia[w : w + (1 << 16)], ib[w : w + (1 << 16)]
+                            ok = (v[i] == v[j]).all(2).any(1)
+                            ends_a.append(i[ok])
+                            ends_b.append(j[ok])
+            root = _forest(n, np.concatenate(ends_a), np.concatenate(ends_b))
+            child = np.flatnonzero(root != np.arange(n))
+            out_a.append(rep[root[child]])
+            out_b.append(rep[child])
+        # one forest for all keys of the bucket; its roots are the smallest ids, so that buckets give equal edges
+        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (out_a, out_b))
+        ids = words.distinct(np.concatenate([a, b]))
+        root = _forest(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
+        child = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[root[child]]), pa.array(ids[child])], names=["a", "b"])
+
+    return run
 
 
 def _compare(sets: list[np.ndarray], left: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -351,19 +385,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
     with nothing.  Rows that repeat an id are one node: their links are joined.
     A null id gets null for component_id and is kept.  Ids are whole numbers.
     Other columns are ignored; an empty table gives no rows.
+
+    Of pairs just similar enough one in 1,000 at most is not compared (at 80: 4
+    in 10,000), of others fewer.  Below 78 keys are shorter, so that more sets
+    meet; a similarity of less than 20 is an error.
     """
+    t = tables_for(similarity)
     spark = docs.sparkSession
     store.ship(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = source.mapInArrow(_sketches(shingle), "id long, n_shingles long, digest binary, sketch binary")
+    made = source.mapInArrow(_sketches(shingle, t), "id long, n_shingles long, digest binary, sketch binary")
     made = store.materialise(made, "sketches")
     full = made.where("n_shingles > 0 and id is not null")
     # equal sets are one from here on
     reps = store.materialise(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sets")
     buckets = store.buckets_for(reps, TASK_BYTES // 8)
-    frequent = spark.sparkContext.broadcast(frequent_keys(reps))
-    bands = reps.select("rep", "sketch").mapInArrow(_to_bands(buckets, frequent), blobs.SCHEMA)
-    meets = blobs.each_bucket(bands, _meet, SKETCH, "a long, b long")
+    frequent = spark.sparkContext.broadcast(frequent_keys(reps, t))
+    bands = reps.select("rep", "sketch").mapInArrow(_to_bands(buckets, frequent, t), blobs.SCHEMA)
+    meets = blobs.each_bucket(bands, _meet(t), SKETCH, "a long, b long")
     meets = store.materialise(meets.distinct(), "meets")
 
     # what may link, as trees; a large one goes in blocks, each pair of which is compared once
