@@ -297,6 +297,8 @@ def _meet(t: Tables):
                             ok = (v[i] == v[j]).all(2).any(1)
                             ends_a.append(i[ok])
                             ends_b.append(j[ok])
+            if not ends_a:  # blocks in which nothing agrees leave no ends
+                continue
             root = _forest(n, np.concatenate(ends_a), np.concatenate(ends_b))
             child = np.flatnonzero(root != np.arange(n))
             out_a.append(rep[root[child]])
