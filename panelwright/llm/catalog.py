@@ -132,7 +132,7 @@ from reach left join sizes using (doc_id) group by doc_id
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 20 words or more that start earlier too."""
     docs = _table(spark, sf_dir, "documents")
-    return repeats.kept_words(docs, repeats.repeats(docs, window=20))
+    return repeats.kept_words(docs, repeats.repeats(docs, window=20, each_text=True))
 
 
 OP7_SQL = r"""

@@ -72,3 +72,21 @@ def plan_bytes(df: DataFrame) -> int:
 def buckets_for(df: DataFrame, bytes_each: int, least: int = 64, most: int = 1 << 22) -> int:
     """How many groups of about bytes_each the rows of df make."""
     return max(least, min(most, -(-plan_bytes(df) // bytes_each)))
+
+
+def free_names(columns, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores after it as it takes to be none of columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole_number_ids(df: DataFrame, id_col: str) -> None:
+    """Refuse ids that are no whole numbers, before any job runs."""
+    kind = df.schema[id_col].dataType
+    if kind.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 1 << 20  # bytes hashed at a time
+CHUNK = 1 << 18  # bytes hashed at a time, but for a longer word
 
 # The separators of a class are the bytes named here.
 _SPACE = [0x20, *range(0x09, 0x0E)]
@@ -51,7 +51,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS = powers(_BASE, 256)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_UP, _DOWN = powers(_BASE, CHUNK), powers(_INVERSE, CHUNK)
 
 
 @dataclass
@@ -73,25 +74,26 @@ class Words:
         return np.diff(self.ptr)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word."""
+        """64-bit hash of each word: its bytes as a polynomial, from running sums over a chunk of text."""
         out = np.empty(len(self.starts), dtype=np.uint64)
-        lens = self.ends - self.starts
-        longest = int(lens.max(initial=0))
-        pw = _POWERS if longest <= len(_POWERS) else powers(_BASE, longest)
-        cuts = [0]
-        if len(lens):
-            grown = np.cumsum(lens)
-            while cuts[-1] < len(lens):
-                done = grown[cuts[-1] - 1] if cuts[-1] else 0
-                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(grown, done + CHUNK, side="right"))))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            n = lens[a:b]
-            first = np.zeros(b - a, dtype=np.int64)
-            np.cumsum(n[:-1], out=first[1:])
-            rel = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
-            at = rel + np.repeat(self.starts[a:b], n)
+        a = 0
+        while a < len(out):
+            low = int(self.starts[a])
+            b = max(a + 1, int(np.searchsorted(self.ends, low + CHUNK, side="right")))
+            high = int(self.ends[b - 1])
+            up, down = (_UP, _DOWN) if high - low <= CHUNK else (powers(_BASE, high - low), powers(_INVERSE, 1))
+            grown = np.empty(high - low + 1, dtype=np.uint64)
+            grown[0] = 0
             with np.errstate(over="ignore"):
-                out[a:b] = np.add.reduceat(_BYTE[self.data[at]] * pw[rel], first) + n.astype(np.uint64) * U(0x632BE59BD9B4E019)
+                x = _BYTE[self.data[low:high]]
+                x *= up[: high - low]
+                np.cumsum(x, out=grown[1:])
+                s, e = self.starts[a:b] - low, self.ends[a:b] - low
+                h = grown[e]
+                h -= grown[s]
+                h *= down[s]
+                out[a:b] = h + (e - s).astype(np.uint64) * U(0x632BE59BD9B4E019)
+            a = b
         return mix(out)
 
     def spaced(self) -> tuple[bytes, np.ndarray]:
