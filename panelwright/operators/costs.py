@@ -27,7 +27,7 @@ def lagged(weights: DataFrame, lag: int) -> DataFrame:
 
 
 def apply_costs(weights: DataFrame, returns: DataFrame, *, cost: float, lag: int = 0) -> DataFrame:
-    """What each cell earns: its lagged weight times the return, 0 if one is missing, less cost times its turnover."""
+    """What each cell earns: its lagged weight times the return, 0 if one is missing, less cost times its turnover.  Panels whose labels differ are refused."""
     at_least("lag", lag, 0)
     if cost < 0:
         raise ValueError(f"cost must not be negative, got {cost}")

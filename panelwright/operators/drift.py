@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_date, finite, ratio
 from ..panel import ASSET, DATE, VALUE
-from ..sources.panels import pair
+from ..sources.panels import matched
 
 
 def drifted_weights(targets: DataFrame, reference_prices: DataFrame, current_prices: DataFrame) -> DataFrame:
@@ -15,10 +15,10 @@ def drifted_weights(targets: DataFrame, reference_prices: DataFrame, current_pri
 
     A date is NULL as a whole if a weight is missing, a weight other than 0 has
     no two positive prices, the book's value is not positive, or a result
-    overflows.  A weight of 0 needs no price.
+    overflows.  A weight of 0 needs no price.  Panels whose labels differ are refused.
     """
     w = by_date()
-    all_ = pair(targets, reference_prices, ("w", "p")).join(current_prices.select(DATE, ASSET, F.col(VALUE).alias("q")), [DATE, ASSET])
+    all_ = matched({"w": targets, "p": reference_prices, "q": current_prices})
     ok = F.col("w").isNotNull() & ((F.col("w") == 0) | F.coalesce((F.col("p") > 0) & (F.col("q") > 0), F.lit(False)))
     moved = F.when(F.col("w") == 0, F.lit(1.0)).otherwise(ratio(F.col("q"), F.col("p")))
     all_ = all_.select(DATE, ASSET, "w", F.coalesce(ok, F.lit(False)).alias("ok"), moved.alias("moved"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import anchored, at_least, by_asset, ratio, trailing, v, variance_of, window_of
+from ..functions.columns import anchored, at_least, by_asset, ratio, trailing, v, window_of, with_moments
 from ..panel import ASSET, DATE, VALUE
 from ..sources.panels import pair
 
@@ -20,15 +20,17 @@ def _row() -> Column:
 def windowed(panel: DataFrame, window: int) -> DataFrame:
     """(date, asset, slot, value): the window of each row, slot 0 its oldest; NULL before the first row."""
     at_least("window", window, 1)
-    slots = F.array(*[F.lag(v(), window - 1 - k).over(by_asset()) for k in range(window)])
-    return panel.select(DATE, ASSET, slots.alias("_slots")).select(DATE, ASSET, F.posexplode("_slots").alias("slot", VALUE))
+    # the frame once, its gaps kept by a struct for each row; before the first row it is shorter
+    seen = panel.select(DATE, ASSET, F.collect_list(F.struct(v())).over(trailing(window)).alias("_seen"))
+    blank = F.array_repeat(F.struct(F.lit(None).cast("double").alias(VALUE)), F.lit(window) - F.size("_seen"))
+    return seen.select(DATE, ASSET, F.posexplode(F.concat(blank, "_seen")).alias("slot", "_cell")).select(DATE, ASSET, "slot", F.col(f"_cell.{VALUE}").alias(VALUE))
 
 
 def partial_rolling_mean(panel: DataFrame, window: int, min_periods: int) -> DataFrame:
     """Mean of the present cells."""
     window_of(window, min_periods)
-    w = trailing(window)
-    return panel.select(DATE, ASSET, F.when(F.count(v()).over(w) >= min_periods, F.avg(v()).over(w)).alias(VALUE))
+    rows = with_moments(panel.select(DATE, ASSET, VALUE), v(), window)
+    return rows.select(DATE, ASSET, F.when(F.col("n") >= min_periods, F.col("total") / F.col("n")).alias(VALUE))
 
 
 def partial_rolling_std(panel: DataFrame, window: int, min_periods: int, *, ddof: int = 1) -> DataFrame:
@@ -36,19 +38,16 @@ def partial_rolling_std(panel: DataFrame, window: int, min_periods: int, *, ddof
     least = max(min_periods, ddof + 1)
     window_of(window, min_periods)
     window_of(window, least)
-    w = trailing(window)
-    moved = panel.select(DATE, ASSET, anchored(v()).alias(VALUE))
-    flat = F.max(v()).over(w) == F.min(v()).over(w)
-    deviation = F.sqrt(variance_of(v(), w, ddof))
-    return moved.select(DATE, ASSET, F.when((F.count(v()).over(w) >= least) & ~flat & (deviation > 0), deviation).alias(VALUE))
+    rows = with_moments(panel.select(DATE, ASSET, anchored(v()).alias(VALUE)), v(), window)
+    deviation = F.sqrt(ratio(F.col("spread"), F.col("n").cast("double") - ddof))
+    return rows.select(DATE, ASSET, F.when((F.col("n") >= least) & (F.col("most") > F.col("least")) & (deviation > 0), deviation).alias(VALUE))
 
 
 def rolling_extreme(panel: DataFrame, window: int, min_periods: int, *, lowest: bool) -> DataFrame:
     """Smallest or largest of the present cells."""
     window_of(window, min_periods)
-    w = trailing(window)
-    extreme = (F.min(v()) if lowest else F.max(v())).over(w)
-    return panel.select(DATE, ASSET, F.when(F.count(v()).over(w) >= min_periods, extreme).alias(VALUE))
+    rows = with_moments(panel.select(DATE, ASSET, VALUE), v(), window)
+    return rows.select(DATE, ASSET, F.when(F.col("n") >= min_periods, F.col("least" if lowest else "most")).alias(VALUE))
 
 
 def bars_since_extreme(panel: DataFrame, window: int, min_periods: int, *, lowest: bool) -> DataFrame:

@@ -61,6 +61,32 @@ register("c_round_trip", lambda f: panels.from_wide(panels.to_wide(f.ord_d)), ce
 register("c_last_row", lambda f: panels.last_row(f.ord_m), "select asset, round(value, 6) + 0.0 as value from ord_m where date = (select max(date) from ord_m)")
 register("c_validate", lambda f: panels.validate(f.ord_d), cell("value", "ord_d"))
 
+register(
+    "c_equal",
+    lambda f: f.spark.createDataFrame([(n, bool(panels.equal_panels(f.ord_d, other))) for n, other in (("itself", panels.from_wide(panels.to_wide(f.ord_d))), ("lagged", op.lag_rows(f.ord_d, 1)), ("shorter", f.ord_d.where("value is not null")))], "other string, equal boolean"),
+    f"""lg as (select date, asset, lag(value) over {A} as value from ord_d) @@ select 'itself' as other, true as equal
+    union all select 'lagged', not exists (select 1 from ord_d o join lg using (date, asset) where o.value is distinct from lg.value)
+    union all select 'shorter', not exists (select 1 from ord_d where value is null)""",
+)
+register(
+    "c_shape",
+    lambda f: f.spark.createDataFrame([(n, *panels.shape(p), panels.is_empty(p), panels.has_dates(p)) for n, p in (("ord_d", f.ord_d), ("ord_m", f.ord_m), ("none", f.ord_d.where("false")))], "panel string, dates long, assets long, empty boolean, has_dates boolean"),
+    "select 'ord_d' as panel, count(distinct date) as dates, count(distinct asset) as assets, count(*) = 0 as empty, count(date) > 0 as has_dates from ord_d"
+    " union all select 'ord_m', count(distinct date), count(distinct asset), count(*) = 0, count(date) > 0 from ord_m union all select 'none', 0, 0, true, false",
+)
+register("c_with_values", lambda f: panels.with_values(f.ord_d, F.col(VALUE) * 2 - 1), cell("value * 2 - 1", "ord_d"))
+ROWS = (("2024-01-05", (1.5, None)), ("2024-01-02", (-2.0, 0.25)), ("2024-01-09", (None, float("inf"))))
+register(
+    "c_from_rows",
+    lambda f: _text_date(panels.from_rows(f.spark, [d for d, _ in ROWS], ["p", "q"], [r for _, r in ROWS])),
+    "select * from (values " + ", ".join(f"('{d} 00:00:00', '{a}', {'null' if x is None or x == float('inf') else x}::double)" for d, r in ROWS for a, x in zip("pq", r, strict=True)) + ") t(date, asset, value)",
+)
+register(
+    "stack_count",
+    lambda f: op.align(f.frames).select(FRAME).distinct().select(FRAME, F.lit(op.stack_count(f.frames)).cast("long").alias("frames")),
+    "select distinct frame, (select count(distinct frame) from stack) as frames from stack",
+)
+
 # joining
 register("align", lambda f: op.align(f.frames), "select frame, date, asset, round(value, 6) + 0.0 as value from stack")
 CARRIED = """h as (select unnest(generate_series(min(date)::timestamp, max(date)::timestamp + interval 2 days, interval 1 hour)) as date from ev_d),
@@ -240,8 +266,58 @@ register(
     nw as (select asset, sqrt(var) as sd, sqrt(cover * var + (1 - cover) * max(var) over ()) as new, min(cover) over () as least, max(var) over () as worst from va join cg using (asset)) @@ select asset_i, asset_j, round(case when i.least >= 1 or i.worst <= 0 then cov when asset_i = asset_j then i.new * j.new else coalesce(cov / nullif(i.sd * j.sd, 0), 0) * i.new * j.new end, 6) + 0.0 as cov
     from cv join nw i on i.asset = asset_i join nw j on j.asset = asset_j""",
 )
-register("equal_risk_row", lambda f: op.equal_risk_weights(f.ret, op.held(f.ret), op.EqualRiskConfig(period=24, rebalance=24)))
-register("equal_risk_weights", lambda f: op.equal_risk_weights(f.ret, op.held(f.ret), op.EqualRiskConfig(period=12, rebalance=3)))
+
+
+def equal_risk_sql(period: int, at: str) -> str:
+    """Common tables up to sz (at, asset, size): what each row at holds, sized from its trailing rows by 50 steps, correlations halved."""
+    return f"""erd as (select date, row_number() over (order by date) - 1 as r from (select distinct date from ret)),
+    erx as (select r, date, asset, value, coalesce(value <> 0, false) as h from ret join erd using (date)),
+    era as (select r as reb from erd where {at}),
+    ern as (select reb, asset from era join erx on r = reb where h),
+    erw as (select reb, r, asset, value from era join erx on r between reb - {period - 1} and reb join ern using (reb, asset)),
+    ert as (select reb, count(distinct asset) as n, count(distinct r) as n_rows from erw group by reb),
+    erc as (select reb, asset, count(value)::double / count(*) as cover from erw group by reb, asset),
+    erp as (select a.reb, a.asset as i, b.asset as j, covar_samp(a.value, b.value) as c, count(*) as n from erw a join erw b on a.reb = b.reb and a.r = b.r and a.value is not null and b.value is not null group by 1, 2, 3),
+    erv as (select x.reb, x.asset as i, y.asset as j, coalesce(case when n > 1 then c end, 0) as c from ern x join ern y on x.reb = y.reb left join erp p on p.reb = x.reb and p.i = x.asset and p.j = y.asset),
+    ero as (select reb, i as asset, c as var, cover, max(c) over (partition by reb) as worst, min(cover) over (partition by reb) as thinnest from erv join erc using (reb) where i = j and erc.asset = i),
+    ers as (select *, case when thinnest < 1 and worst > 0 then cover * var + (1 - cover) * worst else var end as own from ero),
+    erm as (select v.reb, v.i, v.j, case when v.i = v.j then a.own else 0.5 * coalesce(v.c / nullif(sqrt(a.var * b.var), 0), 0) * sqrt(a.own * b.own) end as c from erv v join ers a on a.reb = v.reb and a.asset = v.i join ers b on b.reb = v.reb and b.asset = v.j),
+    erl as (select reb, list(line order by i) as c, 1e-6 * greatest(avg(own), 1e-18) as floor from (select reb, i, list(c order by j) as line, max(case when i = j then c end) as own from erm group by reb, i) group by reb),
+    erk(reb, k, w) as (
+      select reb, 0, list_transform(range(n), lambda x: 1.0::double / n) from ert where n > 1 and n_rows >= 3 union all
+      select reb, k + 1, case when risk > 0 then list_transform(moved, lambda x: x / list_sum(moved)) else w end from (
+        select *, list_transform(range(1, len(w) + 1), lambda i: sqrt(w[i] * greatest(risk, 0) / (len(w) * greatest(m[i], floor)))) as moved from (
+          select *, list_dot_product(w, m) as risk from (select reb, k, w, floor, list_transform(c, lambda line: list_dot_product(line, w)) as m from erk join erl using (reb) where k < 50)))),
+    sz as (select reb, asset, coalesce(w[nth], 1.0) as size from (select reb, asset, row_number() over (partition by reb order by asset) as nth from ern) left join (select reb, w from erk where k = 50) using (reb))"""
+
+
+def _recursive(name: str) -> None:
+    ORACLES[name] = ORACLES[name].replace("with ord_c", "with recursive ord_c", 1)
+
+
+def _last_rows(f: Fixtures, n: int) -> DataFrame:
+    days = f.ret.select(DATE).distinct().orderBy(F.desc(DATE)).limit(n)
+    return f.ret.join(F.broadcast(days), DATE)
+
+
+def _last_held(f: Fixtures) -> DataFrame:
+    return op.held(_last_rows(f, 1)).select(ASSET, FLAG)
+
+
+register(
+    "equal_risk_row",
+    lambda f: op.equal_risk_sizes(_last_rows(f, 24), _last_held(f)),
+    equal_risk_sql(24, "r = (select max(r) from erd)") + " @@ select distinct ret.asset, round(coalesce(size, 0), 6) + 0.0 as value from ret left join sz using (asset)",
+)
+register(
+    "equal_risk_weights",
+    lambda f: op.equal_risk_weights(f.ret, op.held(f.ret), op.EqualRiskConfig(period=12, rebalance=3)),
+    equal_risk_sql(12, "r % 3 = 0")
+    + f", erz as (select date, x.asset, h, case when h then coalesce(size, 0) else 0 end as size from erx x left join sz on sz.reb = x.r - x.r % 3 and sz.asset = x.asset) @@ "
+    + cell(f"coalesce(size / nullif(sum(size) {D}, 0), 0) * sum(h::int) {D}", "erz"),
+)
+_recursive("equal_risk_row")
+_recursive("equal_risk_weights")
 register(
     "volatility_target",
     lambda f: op.volatility_target(f.series, op.VolatilityTargetConfig(period=6, target=0.1, periods_per_year=12)),
@@ -265,7 +341,7 @@ register(
       from rec p join recursive_q q on q.asset = p.asset and q.r = p.r + 1) @@ """
     + cell("h", "rec"),
 )
-ORACLES["no_trade_band"] = ORACLES["no_trade_band"].replace("with ord_c", "with recursive ord_c", 1)
+_recursive("no_trade_band")
 
 
 def _drift(f: Fixtures) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..panel import ASSET, DATE, FLAG, PANEL_SCHEMA, VALUE
 
-__all__ = ["densify", "equal_panels", "from_rows", "from_wide", "has_dates", "is_empty", "last_row", "read_wide", "sanitize", "shape", "to_wide", "validate", "with_values"]
+__all__ = ["densify", "equal_panels", "from_rows", "from_wide", "has_dates", "is_empty", "last_row", "matched", "read_wide", "sanitize", "shape", "to_wide", "validate", "with_values"]
 
 
 def sanitize(panel: DataFrame, *columns: str) -> DataFrame:
@@ -113,9 +114,34 @@ def equal_panels(left: DataFrame, right: DataFrame, value: str = VALUE) -> bool:
     return both.where(F.col("_l").isNull() | F.col("_r").isNull() | ~F.col("_a").eqNullSafe(F.col("_b"))).isEmpty()
 
 
+def matched(frames: dict[str, DataFrame], value: str = VALUE) -> DataFrame:
+    """(date, asset, <names>) of panels, or flags, that have the same labels.
+
+    A label that one of them lacks, or has twice, is an error when the rows are
+    computed, as lags and sums over what is left would be wrong.  All are taken
+    together in one aggregation: one exchange, no sort, and no job of its own.
+    """
+    parts = []
+    for name, f in frames.items():
+        mine = F.col(FLAG if value not in f.columns and FLAG in f.columns else value)
+        parts.append(f.select(DATE, ASSET, mine.alias(name), F.lit(1).alias(f"{name}_seen")))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    both = both.groupBy(DATE, ASSET).agg(*[F.first(n, ignorenulls=True).alias(n) for n in frames], *[F.sum(f"{n}_seen").alias(f"{n}_seen") for n in frames])
+    ok = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"{n}_seen") == 1, F.lit(False)) for n in frames])
+    return both.select(DATE, ASSET, *[_checked(F.col(n), ok, both.schema[n].dataType, " and ".join(frames)).alias(n) for n in frames])
+
+
+def _checked(x: Column, ok: Column, kind, names: str) -> Column:
+    where = F.concat_ws(" ", F.lit(f"the labels of {names} do not match at"), F.col(DATE).cast("string"), F.col(ASSET).cast("string"))
+    return F.when(ok, x).otherwise(F.raise_error(where).cast(kind))
+
+
 def pair(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("left", "right"), value: str = VALUE) -> DataFrame:
-    """(date, asset, <names>) of two panels with the same labels; a right side without asset holds for all."""
-    keys = [DATE, ASSET] if ASSET in right.columns else [DATE]
-    a = left.select(DATE, ASSET, F.col(value).alias(names[0]))
-    b = right.select(*keys, F.col(FLAG if value not in right.columns and FLAG in right.columns else value).alias(names[1]))
-    return a.join(b, keys)
+    """matched() of two panels.  A right side without asset holds for all of them, and has the left's dates."""
+    if ASSET in right.columns:
+        return matched({names[0]: left, names[1]: right}, value)
+    a = left.select(DATE, ASSET, F.col(value).alias(names[0]), F.lit(True).alias("_a"))
+    b = right.select(DATE, F.col(value).alias(names[1]), F.lit(True).alias("_b"))
+    both = a.join(b, DATE, "full")
+    ok = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return both.select(DATE, ASSET, *[_checked(F.col(n), ok, both.schema[n].dataType, " and ".join(names)).alias(n) for n in names])

@@ -29,7 +29,7 @@ def close(got, want):
         (lambda p: op.capped(p, max_gross=0.5), [[0.5, -0.5, INF]], [[0.25, -0.25, _]]),
         (lambda p: op.capped(p), [[5.0, -5.0]], [[5.0, -5.0]]),
         (lambda p: op.capped(p, max_net=1.0), [[3.0, -1.0]], [[1.5, -0.5]]),
-        (lambda p: op.quantize(p, 0.05), [[0.117, -0.123]], [[0.10, -0.10]]),
+        (lambda p: op.quantize(p, 0.2), [[0.71, -1.09]], [[0.8, -1.0]]),
         (lambda p: op.quantize(p, 1.0), [[0.5, 1.5, 2.5]], [[0.0, 2.0, 2.0]]),
         (op.weights_from_bins, [[0, 1, 2]], [[-0.5, 0, 0.5]]),
         (op.weights_from_bins, [[4, 4, 4]], [[0, 0, 0]]),
@@ -48,14 +48,14 @@ def close(got, want):
         (op.turnover, [[_], [1], [_], [2]], [[0], [1], [1], [2]]),
         (lambda p: op.rolling_sums(p, 2), [[1], [2], [_], [4], [5], [6]], [[_], [3], [_], [_], [9], [11]]),
         (lambda p: op.rolling_mean(p, 3), [[_], [_], [1], [2], [3]], [[_], [_], [_], [_], [2]]),
-        (lambda p: op.ewm_mean(p, 3), [[_], [_], [1], [2], [3]], [[_], [_], [_], [_], [2.4285714285714284]]),
+        (lambda p: op.ewm_mean(p, 3), [[_], [8], [4], [_], [2]], [[_], [_], [_], [_], [(2 + 4 / 4 + 8 / 8) / (1 + 1 / 4 + 1 / 8)]]),
         (lambda p: op.ewm_mean(p, 1), [[1], [_], [3]], [[1], [_], [3]]),
         (lambda p: op.bars_since_extreme(p, 3, 1, lowest=True), [[3], [1], [2]], [[0], [0], [1]]),
         (lambda p: op.bars_since_extreme(p, 3, 1, lowest=False), [[2], [2], [1]], [[0], [1], [2]]),
         (lambda p: op.partial_rolling_std(p, 3, 2), [[5], [5], [5]], [[_], [_], [_]]),
         (lambda p: op.trailing_std(p, 3), [[5], [5], [5]], [[_], [_], [0]]),
         (lambda p: op.downside_deviation(p, 2), [[-3], [-4], [1], [1]], [[_], [12.5**0.5], [4], [_]]),
-        (lambda p: op.no_trade_band(p, 0.25), [[0.5, 0.5], [0.625, 0.375]], [[0.5, 0.5], [0.5, 0.5]]),
+        (lambda p: op.no_trade_band(p, 0.4), [[0.8, -0.3], [0.7, -0.2], [0.7, 0.1]], [[0.8, -0.3], [0.8, -0.3], [0.8, 0.1]]),
         (lambda p: op.no_trade_band(p, 0.25), [[0.5, 0.5], [_, 0.7], [0.4, 0.7]], [[0.5, 0.5], [_, 0.7], [0.4, 0.7]]),
         (lambda p: op.no_trade_band(p, 0.25), [[0.5, 0.5], [0.0, 0.0], [0.01, 0.0]], [[0.5, 0.5], [0.0, 0.0], [0.01, 0.0]]),
         (lambda p: op.lag_rows(p, 1), [[1], [2]], [[_], [1]]),
@@ -106,8 +106,8 @@ def test_stacks(spark, panel, rows):
     shares = {"x": 0.25, "y": 0.75}
     close(rows(op.weighted_nanmean_stack(s, shares)), [[1]])
     close(rows(op.weighted_mean_stack(s, shares)), [[0.25]])
-    m = op.align({"x": panel([[0.10]]), "y": panel([[0.12]]), "z": panel([[9.99]])})
-    close(rows(op.nanmedian_stack(m)), [[0.12]])
+    m = op.align({"x": panel([[-70.0, 3.0]]), "y": panel([[0.4, 5.0]]), "z": panel([[0.3, None]])})
+    close(rows(op.nanmedian_stack(m)), [[0.3, 4.0]])
     t = op.align({"x": panel([[0.4, 0.2]]), "y": panel([[0.6, None]])})
     daily = t.select("frame", "date").distinct().selectExpr("frame", "date", "1.0D as share")
     close(rows(op.mean_stack_over_time(t, daily)), [[0.5, 0.1]])
