@@ -8,11 +8,20 @@ probability 1 - (1 - s^r)^b each.  b * r is given; r is chosen by the similarity
 asked for, 3 at 0.8 and less where that would miss pairs.
 
 The pair key is looked up in two steps: sets meet by a key of U, and among those
-by the keys of V, which travel with them, 8 bits of each minhash.  Sets whose key
-of U is frequent meet by the whole pair key at once, and where that is frequent
-too, in blocks, each two of which meet once; so no task gathers a large family.  What meets is
-weighed by those bits, and a spanning forest of what may link is kept.  Within
-each tree, sets are compared in full.
+by the keys of V, which travel with them, 8 bits of each minhash.  Keys are counted
+exactly.  Where more than FREQUENT_LEAST sets have a key of U, they meet by the
+whole pair key at once; where more than MEET have that too, in three steps:
+
+* each set is compared in full with one centre, of the smallest sets under its
+  crowded pair keys the one it shares most of them with, so a family of near
+  copies becomes one class by as many comparisons as it has sets;
+* under a pair key that still has sets of several classes, the largest class is
+  one side, in blocks, and all others another, and only blocks that differ meet;
+* what is in one class already is never compared again.
+
+What meets is weighed by the bits of all minhashes, and a spanning forest of what
+may link is kept.  The sets of a tree are compared in full, and those of a large
+tree in pairs of blocks, only where a block's sets have candidates in the other.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,16 +48,15 @@ PASSED_OVER = 1e-6  # and, about, the part that may agree in too few minhashes
 BLOCK = 512  # sets of a block of a large tree, at most about
 BLOCK_SHINGLES = 500_000  # and shingles of its sets
 TASK_BYTES = 8 << 20
-SAMPLE_ROWS = 20_000  # sets, about, whose keys show which are frequent
-FREQUENT = 0.002  # part of the sampled sets; it decides how sets are dealt out, not what is found
-FREQUENT_LEAST = 32  # sets of the sample, at least
-FREQUENT_MOST = 100_000
-MEET = 2048  # sets under a frequent pair key that meet at once, about
+FREQUENT_LEAST = 128  # sets that meet by one key of U, at most; this and MEET decide how sets are dealt out, not what is found
+MEET = 512  # sets that meet by one pair key, at most
+CENTRES = 2  # rounds in which crowded sets look for a centre
+SALT = 16
 
 _MULTIPLY = words.mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = words.mix(np.arange(1001, 1001 + N, dtype=np.uint64))
 
-SKETCH = np.dtype([("key", "<u8"), ("rep", "<i8"), ("low", "u1", (N,))])
+SKETCH = np.dtype([("key", "<u8"), ("rep", "<i8"), ("label", "<i8"), ("blocks", "<u4"), ("low", "u1", (N,))])
 
 
 @dataclass(frozen=True)
@@ -162,84 +170,98 @@ def _read(column, t: Tables) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), dtype=t.packed) for x in column]) if len(column) else np.empty(0, dtype=t.packed)
 
 
-def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Place of each key in the sorted found, -1 where it is not there."""
-    if not len(found):
-        return np.full(keys.shape, -1)
-    at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
-    return np.where(found[at] == keys, at, -1)
+def _pairs_of(x: np.ndarray, hot: blobs.Members, t: Tables) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each key of U the rows that have it frequent, and their pair keys under it, a row of keys for each."""
+    for i in range(t.bands):
+        rows = np.flatnonzero(hot(x["keys"][:, i]))
+        if len(rows):
+            yield rows, pair_keys(x["keys"][rows, i], x["low"][rows], t)
 
 
-def frequent_keys(reps: DataFrame, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys of U that many sampled sets have; sorted pair keys under those that many have; blocks for each of these."""
-    total = reps.count()
-    part = min(1.0, SAMPLE_ROWS / max(1, total))
-    sample = reps.select("sketch").sample(fraction=part, seed=5)
-    least = max(FREQUENT_LEAST, FREQUENT * min(total, SAMPLE_ROWS))
+def frequent_keys(reps: DataFrame, t: Tables) -> tuple[blobs.Members, blobs.Members]:
+    """The keys of U that more than FREQUENT_LEAST sets have, and the pair keys under those that more than MEET have."""
+    buckets = store.buckets_for(reps, TASK_BYTES)
 
-    def often(keys, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    def counted(keys) -> blobs.Members:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = blobs.Counts(buckets)
             for batch in batches:
-                h = words.distinct_counts(keys(_read(batch.column(0), t)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(h[1])], names=["h", "n"])
+                for k in keys(_read(batch.column(0), t)):
+                    yield from _plain(counts.add(k))
+            yield from _plain(counts.flush())
 
-        counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        # each is a given part of the sample's keys, which bounds their number whatever the corpus's size
-        got = counted.where(F.col("n") >= limit).orderBy(F.desc("n")).limit(FREQUENT_MOST).toArrow()
-        h, n = got.column("h").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy()
-        order = np.argsort(h)
-        return h[order], n[order]
+        return run
 
-    hot, _ = often(lambda x: x["keys"].reshape(-1), least)
+    def often(keys, most: int) -> blobs.Members:
+        found = blobs.more_than(reps.select("sketch").mapInArrow(counted(keys), blobs.SCHEMA + ", all int"), most, by="all")
+        return blobs.members(store.materialise(found, "frequent-keys"), "h")
+
+    hot = often(lambda x: [x["keys"].reshape(-1)], FREQUENT_LEAST)
     if not len(hot):
-        return hot, hot, np.empty(0, dtype=np.int64)
+        return hot, hot
+    return hot, often(lambda x: (pair.reshape(-1) for _, pair in _pairs_of(x, hot, t)), MEET)
 
-    def pairs(x: np.ndarray) -> np.ndarray:
-        out = []
-        for i in range(t.bands):
-            mine = _among(x["keys"][:, i], hot) >= 0
-            out.append(pair_keys(x["keys"][mine, i], x["low"][mine], t).reshape(-1))
-        return np.concatenate(out)
 
-    both, n = often(pairs, max(FREQUENT_LEAST, MEET * part))
-    return hot, both, np.maximum(1, np.ceil(n / part / MEET)).astype(np.int64)
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, dtype=np.int32))], names=[*b.schema.names, "all"])
 
 
-def _to_bands(buckets: int, frequent, t: Tables):
-    """A record for each key that sets meet by: the key, the set, and the low bits of all minhashes."""
+def _crowd(frequent, t: Tables):
+    """(key, rep) for each crowded pair key of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, both, blocks = frequent.value
+        hot, crowded = frequent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, rep = _read(batch.column(1), t), batch.column(0).to_numpy()
+            for rows, pair in _pairs_of(x, hot, t):
+                at, j = np.nonzero(crowded(pair))
+                yield pa.RecordBatch.from_arrays([pa.array(pair[at, j].view(np.int64)), pa.array(rep[rows[at]])], names=["key", "rep"])
+
+    return run
+
+
+def _send(key: np.ndarray, rows: np.ndarray, batch: pa.RecordBatch, low: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Records of the batch's rows (rep, label, blocks) by key."""
+    rep, label, blocks = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("rep", "label", "blocks"))
+    for c in range(0, len(key), 1 << 16):
+        k, r = key[c : c + (1 << 16)], rows[c : c + (1 << 16)]
+        out = np.empty(len(k), dtype=SKETCH)
+        out["key"], out["rep"], out["label"], out["blocks"], out["low"] = k, rep[r], label[r], blocks[r], low[r]
+        yield from blobs.send((k % np.uint64(buckets)).astype(np.int64), out)
+
+
+def _to_bands(buckets: int, frequent, t: Tables):
+    """A record for each key that sets meet by, but for crowded pair keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, crowded = frequent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _read(batch.column(batch.schema.get_field_index("sketch")), t)
             for i in range(t.bands):
                 u = x["keys"][:, i]
-                often = _among(u, hot) >= 0
-                keys, rows = [u[~often]], [np.flatnonzero(~often)]
-                if often.any():
-                    pair = pair_keys(u[often], x["low"][often], t)
-                    row = np.repeat(np.flatnonzero(often), t.bands)
-                    pair = pair.reshape(-1)
-                    at = _among(pair, both)
-                    many = np.where(at >= 0, blocks[np.maximum(at, 0)] if len(blocks) else 1, 1)
-                    keys.append(pair[many == 1])
-                    rows.append(row[many == 1])
-                    # a set of block b meets each block q in the pair (b, q)
-                    pair, row, n = pair[many > 1], row[many > 1], many[many > 1]
-                    b = (words.mix(rep[row].astype(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
-                    q = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    b, wide = np.repeat(b, n), np.repeat(n, n)
-                    two = np.minimum(b, q) * wide + np.maximum(b, q) + 1
-                    keys.append(words.mix(np.repeat(pair, n) ^ words.mix(two.astype(np.uint64))))
-                    rows.append(np.repeat(row, n))
-                key, at = np.concatenate(keys), np.concatenate(rows)
-                for c in range(0, len(key), 1 << 16):
-                    out = np.empty(min(1 << 16, len(key) - c), dtype=SKETCH)
-                    out["key"] = key[c : c + (1 << 16)]
-                    out["rep"], out["low"] = rep[at[c : c + (1 << 16)]], x["low"][at[c : c + (1 << 16)]]
-                    yield from blobs.send((out["key"] % np.uint64(buckets)).astype(np.int64), out)
+                rows = np.flatnonzero(~hot(u))
+                yield from _send(u[rows], rows, batch, x["low"], buckets)
+            for rows, pair in _pairs_of(x, hot, t):
+                at, j = np.nonzero(~crowded(pair))
+                yield from _send(pair[at, j], rows[at], batch, x["low"], buckets)
+
+    return run
+
+
+def _to_blocks(buckets: int, t: Tables):
+    """A record for each pair of blocks of a crowded key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _read(batch.column(batch.schema.get_field_index("sketch")), t)
+                key = batch.column(batch.schema.get_field_index("group")).to_numpy().view(np.uint64)
+                yield from _send(key, np.arange(len(x)), batch, x["low"], buckets)
 
     return run
 
@@ -260,59 +282,78 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _candidates(records: np.ndarray, t: Tables) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of records, two and two, that share a table's key, agree in enough minhashes and are not of one class yet; records are sorted by key."""
+    key = records["key"]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, dtype=np.int64)
+    sizes = np.diff(cut)
+    for s, n in zip(cut[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        low, label = records["low"][s : s + n], records["label"][s : s + n]
+        if (label == label[0]).all():
+            continue
+        # among sets that share a key of U, those that share a key of V: its minhashes' bits in order
+        v = low[:, N // 2 :].reshape(n, t.bands, t.rows)
+        if n <= 64:
+            ia, ib = np.triu_indices(n, 1)
+            ok = (label[ia] != label[ib]) & (v[ia] == v[ib]).all(2).any(1)
+            ia, ib = ia[ok], ib[ok]
+            ok = (low[ia] == low[ib]).sum(1) >= t.least_agree
+            yield s + ia[ok], s + ib[ok]
+            continue
+        for p in range(0, n, 256):
+            for q in range(p, n, 256):
+                x, y = low[p : p + 256], low[q : q + 256]
+                same = np.zeros((len(x), len(y)), dtype=np.uint8)
+                for c in range(N):
+                    same += x[:, c][:, None] == y[:, c]
+                ia, ib = np.nonzero((same >= t.least_agree) & (label[p : p + 256][:, None] != label[q : q + 256]))
+                ia, ib = ia + p, ib + q
+                ok = ia < ib
+                ia, ib = ia[ok], ib[ok]
+                for w in range(0, len(ia), 1 << 16):
+                    i, j = ia[w : w + (1 << 16)], ib[w : w + (1 << 16)]
+                    ok = (v[i] == v[j]).all(2).any(1)
+                    yield s + i[ok], s + j[ok]
+
+
 def _meet(t: Tables):
-    """Edges of a spanning forest of the sets that share a table's key and agree in enough minhashes."""
+    """Edges of a spanning forest of what may link, one forest for all keys of the bucket; its roots are the smallest ids, so that buckets give equal edges."""
 
     def run(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         records = records[np.argsort(records["key"], kind="stable")]
-        key = records["key"]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, dtype=np.int64)
-        sizes = np.diff(cut)
-        out_a, out_b = [], []
-        for s, n in zip(cut[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            low, rep = records["low"][s : s + n], records["rep"][s : s + n]
-            # among sets that share a key of U, those that share a key of V: its minhashes' bits in order
-            ends_a, ends_b = [], []
-            v = low[:, N // 2 :].reshape(n, t.bands, t.rows)
-            if n <= 64:
-                ia, ib = np.triu_indices(n, 1)
-                ok = (v[ia] == v[ib]).all(2).any(1)
-                ia, ib = ia[ok], ib[ok]
-                ok = (low[ia] == low[ib]).sum(1) >= t.least_agree
-                ends_a.append(ia[ok])
-                ends_b.append(ib[ok])
-            else:
-                for p in range(0, n, 256):
-                    for q in range(p, n, 256):
-                        x, y = low[p : p + 256], low[q : q + 256]
-                        same = np.zeros((len(x), len(y)), dtype=np.uint8)
-                        for c in range(N):
-                            same += x[:, c][:, None] == y[:, c]
-                        ia, ib = np.nonzero(same >= t.least_agree)
-                        ia, ib = ia + p, ib + q
-                        ok = ia < ib
-                        ia, ib = ia[ok], ib[ok]
-                        for w in range(0, len(ia), 1 << 16):
-                            i, j = ia[w : w + (1 << 16)], ib[w : w + (1 << 16)]
-                            ok = (v[i] == v[j]).all(2).any(1)
-                            ends_a.append(i[ok])
-                            ends_b.append(j[ok])
-            if not ends_a:  # blocks in which nothing agrees leave no ends
-                continue
-            root = _forest(n, np.concatenate(ends_a), np.concatenate(ends_b))
-            child = np.flatnonzero(root != np.arange(n))
-            out_a.append(rep[root[child]])
-            out_b.append(rep[child])
-        # one forest for all keys of the bucket; its roots are the smallest ids, so that buckets give equal edges
-        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (out_a, out_b))
-        ids = words.distinct(np.concatenate([a, b]))
-        root = _forest(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
+        ids, of = np.unique(records["rep"], return_inverse=True)
+        of, root = of.reshape(-1), np.arange(len(ids))
+        for i, j in _candidates(records, t):
+            if len(i):
+                a, b = root[of[i]], root[of[j]]
+                apart = a != b
+                root = _forest(len(ids), a[apart], b[apart])[root] if apart.any() else root
         child = np.flatnonzero(root != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[root[child]]), pa.array(ids[child])], names=["a", "b"])
 
     return run
 
 
+def _block(rep: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (words.mix(rep.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+
+
+def _beside(t: Tables):
+    """(rep, block, other): the blocks of its tree in which a set has candidates, its own block beside them."""
+
+    def run(records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        records = records[np.argsort(records["key"], kind="stable")]
+        block = _block(records["rep"], records["blocks"])
+        found = [np.empty((0, 3), dtype=np.int64)]
+        for i, j in _candidates(records, t):
+            rep = np.concatenate([records["rep"][i], records["rep"][j]])
+            found.append(np.unique(np.stack([rep, np.concatenate([block[i], block[j]]), np.concatenate([block[j], block[i]])], axis=1), axis=0))
+        made = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(made[:, c])) for c in range(3)], names=["rep", "block", "other"])
+
+    return run
+
+
 def _compare(sets: list[np.ndarray], left: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets that are similar enough, the first of each among the first left sets (all pairs if left is all), by their shared elements."""
     n = len(sets)
@@ -373,6 +414,66 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _blocks_for(n: str) -> Column:
+    """Into how many blocks sets of n shingles each are dealt."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
+
+
+def _by_key(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows joined to the one row that facts has for each key; a frequent key's rows are dealt to SALT places."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
+def _classes(crowd: DataFrame, reps: DataFrame, confirm) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of crowded sets (key, rep) with centres, and (rep, label) of the classes that they make.
+
+    A round's centres are the smallest sets under each key that are not of its
+    largest class; a set takes the one that it shares most keys with.
+    """
+    linked, labels, rest = None, None, crowd
+    for nth in range(CENTRES):
+        centre = _by_key(rest, rest.groupBy("key").agg(F.min("rep").alias("centre")))
+        best = centre.groupBy("rep", "centre").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct("n", -F.col("centre"))).alias("best"))
+        star = store.materialise(best.select((-F.col("best")["col2"]).alias("centre"), "rep").where("centre <> rep").join(reps.select("rep", "n"), "rep"), "stars")
+        sizes = star.groupBy("centre").agg(_blocks_for("n").alias("parts"))
+        star = star.join(sizes, "centre").select("rep", F.col("centre").alias("tree"), F.pmod(F.xxhash64("rep"), "parts").alias("pair"), F.lit(1).cast("long").alias("block"))
+        middle = sizes.select(F.col("centre").alias("rep"), F.col("centre").alias("tree"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("pair"), F.lit(0).cast("long").alias("block"))
+        new = confirm(store.materialise(star.unionByName(middle), "star-sets"))
+        linked = store.materialise(new if linked is None else linked.unionByName(new), "centre-links")
+        labels = store.materialise(components(linked).select(F.col("node").alias("rep"), F.col("component").alias("label")), "classes")
+        if nth < CENTRES - 1:
+            mixed = _mixed(crowd, labels)
+            if mixed.isEmpty():
+                break
+            rest = store.materialise(_by_key(_labelled(crowd, labels), mixed).where("label <> top").select("key", "rep"), "no-centre-yet")
+    return linked, labels
+
+
+def _labelled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    return crowd.join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+
+
+def _mixed(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, top, n_top, n_rest) of the keys under which sets of several classes lie."""
+    by = _labelled(crowd, labels).groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+    return store.materialise(mixed.select("key", F.col("most.label").alias("top"), F.col("most.n").alias("n_top"), (F.col("n") - F.col("most.n")).alias("n_rest")), "mixed-keys")
+
+
+def _differing(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, group): the pairs of blocks by which sets meet under mixed keys; two blocks of the largest class meet nowhere."""
+    rows = _by_key(_labelled(crowd, labels), _mixed(crowd, labels))
+    top = F.col("label") == F.col("top")
+    tops, rests = (F.ceil(F.col(c) / MEET) for c in ("n_top", "n_rest"))
+    mine = F.pmod(F.xxhash64("rep"), F.when(top, tops).otherwise(rests))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    with_rest = F.transform(upto(rests), lambda b: F.when(F.col("top_set"), F.xxhash64("key", F.lit("top"), b, "mine")).otherwise(F.xxhash64("key", F.lit("rest"), F.least(b, "mine"), F.greatest(b, "mine"))))
+    with_top = F.when(F.col("top_set"), F.array().cast("array<bigint>")).otherwise(F.transform(upto(tops), lambda c: F.xxhash64("key", F.lit("top"), "mine", c)))
+    rows = rows.withColumn("top_set", top).withColumn("mine", mine.cast("long"))
+    return store.materialise(rows.select("rep", F.explode(F.concat(with_rest, with_top)).alias("group")), "mixed-blocks")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs.
 
@@ -385,14 +486,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
 
     Documents without words, null texts too, have an empty set and are linked
     with nothing.  Rows that repeat an id are one node: their links are joined.
-    A null id gets null for component_id and is kept.  Ids are whole numbers.
-    Other columns are ignored; an empty table gives no rows.
+    A null id gets null for component_id and is kept.  Ids are whole numbers,
+    else a TypeError.  Other columns are ignored, whatever their names; an empty
+    table gives no rows.
 
     Of pairs just similar enough one in 1,000 at most is not compared (at 80: 4
     in 10,000), of others fewer.  Below 78 keys are shorter, so that more sets
     meet; a similarity of less than 20 is an error.
     """
     t = tables_for(similarity)
+    store.whole_number_ids(docs, id_col)
     spark = docs.sparkSession
     store.ship(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -402,25 +505,53 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
     # equal sets are one from here on
     reps = store.materialise(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sets")
     buckets = store.buckets_for(reps, TASK_BYTES // 8)
-    frequent = spark.sparkContext.broadcast(frequent_keys(reps, t))
-    bands = reps.select("rep", "sketch").mapInArrow(_to_bands(buckets, frequent, t), blobs.SCHEMA)
-    meets = blobs.each_bucket(bands, _meet(t), SKETCH, "a long, b long")
+    found = frequent_keys(reps, t)
+    frequent = spark.sparkContext.broadcast(found)  # tables of bits of a bounded size
+    groups = store.buckets_for(docs.select(F.col(text_col)), TASK_BYTES)
+    texts = source.where("id is not null").withColumnRenamed("id", "rep")
+
+    def confirm(sets: DataFrame) -> DataFrame:
+        """Links among sets (rep, tree, pair, block): those of a tree and pair are compared, one block with the other where there are two."""
+        # one text of each set
+        joined = texts.join(sets.hint("merge"), "rep").withColumn("bucket", F.pmod(F.xxhash64("tree", "pair"), F.lit(4 * groups)))
+        rows = store.dealt(joined.select("bucket", "rep", "tree", "pair", "block", "text"), "bucket", docs.select(F.col(text_col)))
+        return rows.groupBy("bucket").applyInArrow(_confirm(shingle, similarity), "a long, b long")
+
+    named, blocked, linked = reps.withColumn("label", F.col("rep")), None, None
+    if len(found[1]):
+        crowd = store.materialise(reps.select("rep", "sketch").mapInArrow(_crowd(frequent, t), "key long, rep long"), "crowd")
+        linked, labels = _classes(crowd, reps, confirm)
+        named = store.materialise(reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
+        blocked = _differing(crowd, labels)
+
+    def meet(sets: DataFrame, work, schema: str) -> DataFrame:
+        """What is made of the records that meet, of these sets (rep, label, blocks, sketch)."""
+        sets = sets.select("rep", "label", "blocks", "sketch")
+        bands = sets.mapInArrow(_to_bands(buckets, frequent, t), blobs.SCHEMA)
+        if blocked is not None:
+            both = sets.join(blocked.hint("merge"), "rep").select("group", "rep", "label", "blocks", "sketch")
+            bands = bands.unionByName(both.mapInArrow(_to_blocks(buckets, t), blobs.SCHEMA))
+        return blobs.each_bucket(store.dealt(bands, "bucket", reps), work, SKETCH, schema)
+
+    meets = meet(named.withColumn("blocks", F.lit(1)), _meet(t), "a long, b long")
     meets = store.materialise(meets.distinct(), "meets")
 
-    # what may link, as trees; a large one goes in blocks, each pair of which is compared once
-    trees = store.materialise(components(meets).select(F.col("node").alias("rep"), F.col("component").alias("tree")), "trees")
-    trees = trees.join(reps.select("rep", "n"), "rep")
-    sizes = store.materialise(trees.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "tree-sizes")
-    spread = trees.join(sizes, "tree")
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = spread.withColumn("other", F.explode(other)).withColumn("pair", F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other"))
-    spread = store.materialise(spread.select("rep", "tree", "block", "pair", "blocks"), "blocks")
-    # one text of each set
-    texts = source.where("id is not null").withColumnRenamed("id", "rep").join(spread.hint("merge"), "rep")
-    groups = store.buckets_for(docs.select(F.col(text_col)), TASK_BYTES)
-    texts = texts.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("tree"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("tree", "pair"), F.lit(64 * groups)) + groups))
-    links = texts.select("bucket", "rep", "tree", "pair", "block", "text").groupBy("bucket").applyInArrow(_confirm(shingle, similarity), "a long, b long")
+    # what may link, as trees
+    trees = components(meets).select(F.col("node").alias("rep"), F.col("component").alias("tree")).join(reps.select("rep", "n"), "rep")
+    trees = store.materialise(trees, "trees")
+    sizes = trees.groupBy("tree").agg(_blocks_for("n").alias("blocks"))
+    sized = store.materialise(trees.join(sizes, "tree").select("rep", "tree", "blocks"), "tree-sizes")
+    pairs = sized.where("blocks = 1").select("rep", "tree", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("block"))
+    large = sized.where("blocks > 1")
+    if not large.isEmpty():
+        # blocks of a large tree are compared only where one has candidates in the other
+        beside = meet(named.join(large.select("rep", "blocks"), "rep"), _beside(t), "rep long, block long, other long").distinct()
+        beside = beside.join(large, "rep")
+        pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+        pairs = pairs.unionByName(beside.select("rep", "tree", pair.alias("pair"), "block"))
+    links = confirm(store.materialise(pairs, "blocks"))
+    if linked is not None:
+        links = links.unionByName(linked)
     # an id that several sets have joins them
     several = full.groupBy("id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("id", "d")
     same = full.select("id", "digest").join(several, "id").where("d <> digest").select("d", "digest").distinct()

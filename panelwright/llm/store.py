@@ -64,14 +64,29 @@ def ship(spark: SparkSession) -> None:
     sc._panelwright_shipped = True
 
 
+UNKNOWN = 1 << 60  # bytes; the optimizer's estimate is beyond that for rows that are in no file
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Size of df as the optimizer estimates it: for a scan, the files' size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets_for(df: DataFrame, bytes_each: int, least: int = 64, most: int = 1 << 22) -> int:
-    """How many groups of about bytes_each the rows of df make."""
-    return max(least, min(most, -(-plan_bytes(df) // bytes_each)))
+    """How many groups of about bytes_each the rows of df make; 1024 where their size is not known."""
+    size = plan_bytes(df)
+    return max(least, min(most, -(-size // bytes_each))) if size < UNKNOWN else 1024
+
+
+DEAL_BYTES = 2 << 20  # of the input for each task that a large exchange deals to
+DEAL_MOST = 100_000
+
+
+def dealt(rows: DataFrame, key: str, like: DataFrame) -> DataFrame:
+    """rows dealt by key to as many tasks as a table of the size of like asks for, where that is known and more than the session's number."""
+    size = plan_bytes(like)
+    n = min(DEAL_MOST, -(-size // DEAL_BYTES)) if size < UNKNOWN else 0
+    return rows.repartition(n, key) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def free_names(columns, *wanted: str) -> list[str]:
