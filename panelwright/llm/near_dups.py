@@ -12,11 +12,12 @@ by the keys of V, which travel with them, 8 bits of each minhash.  Keys are coun
 exactly.  Where more than FREQUENT_LEAST sets have a key of U, they meet by the
 whole pair key at once; where more than MEET have that too, in three steps:
 
-* each set is compared in full with one centre, of the smallest sets under its
-  crowded pair keys the one it shares most of them with, so a family of near
-  copies becomes one class by as many comparisons as it has sets;
-* under a pair key that still has sets of several classes, the largest class is
-  one side, in blocks, and all others another, and only blocks that differ meet;
+* each set is compared in full with one centre, a smallest set under one of its
+  crowded pair keys, so a family of near copies becomes one class by about as
+  many comparisons as it has sets;
+* where a pair key still has sets of several classes, the largest class is one
+  side, in blocks, and all others another, and only blocks that differ meet, once
+  for all keys of that class;
 * what is in one class already is never compared again.
 
 What meets is weighed by the bits of all minhashes, and a spanning forest of what
@@ -29,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -50,8 +52,10 @@ BLOCK_SHINGLES = 500_000  # and shingles of its sets
 TASK_BYTES = 8 << 20
 FREQUENT_LEAST = 128  # sets that meet by one key of U, at most; this and MEET decide how sets are dealt out, not what is found
 MEET = 512  # sets that meet by one pair key, at most
-CENTRES = 2  # rounds in which crowded sets look for a centre
+CENTRES = 3  # rounds in which crowded sets look for a centre
+LOOKED_AT = 4  # of its crowded keys, in each round
 SALT = 16
+EDGES = 1 << 18  # candidates that a task holds before they go into its forest
 
 _MULTIPLY = words.mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = words.mix(np.arange(1001, 1001 + N, dtype=np.uint64))
@@ -208,7 +212,7 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowd(frequent, t: Tables):
-    """(key, rep) for each crowded pair key of each set."""
+    """(rep, keys) for each set with crowded pair keys: these, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, crowded = frequent.value
@@ -216,9 +220,16 @@ def _crowd(frequent, t: Tables):
             if not batch.num_rows:
                 continue
             x, rep = _read(batch.column(1), t), batch.column(0).to_numpy()
+            key, row = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
             for rows, pair in _pairs_of(x, hot, t):
                 at, j = np.nonzero(crowded(pair))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[at, j].view(np.int64)), pa.array(rep[rows[at]])], names=["key", "rep"])
+                key.append(pair[at, j])
+                row.append(rows[at])
+            key, row = np.concatenate(key).view(np.int64), np.concatenate(row)
+            order = np.lexsort((key, row))
+            own = np.unique(row)
+            ends = np.append(np.searchsorted(row[order], own), len(row)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order]))], names=["rep", "keys"])
 
     return run
 
@@ -323,11 +334,15 @@ def _meet(t: Tables):
         records = records[np.argsort(records["key"], kind="stable")]
         ids, of = np.unique(records["rep"], return_inverse=True)
         of, root = of.reshape(-1), np.arange(len(ids))
-        for i, j in _candidates(records, t):
-            if len(i):
-                a, b = root[of[i]], root[of[j]]
-                apart = a != b
-                root = _forest(len(ids), a[apart], b[apart])[root] if apart.any() else root
+        held, size = [], 0
+        for i, j in chain(_candidates(records, t), [(None, None)]):
+            if i is not None and len(i):
+                held.append((of[i], of[j]))
+                size += len(i)
+            if held and (i is None or size > EDGES):
+                a, b = (root[np.concatenate(x)] for x in zip(*held, strict=True))
+                root = _forest(len(ids), a, b)[root]
+                held, size = [], 0
         child = np.flatnonzero(root != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[root[child]]), pa.array(ids[child])], names=["a", "b"])
 
@@ -426,16 +441,19 @@ def _by_key(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _classes(crowd: DataFrame, reps: DataFrame, confirm) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of crowded sets (key, rep) with centres, and (rep, label) of the classes that they make.
+    """Links (a, b) of crowded sets (rep, keys) with centres, and (rep, label) of the classes that they make.
 
-    A round's centres are the smallest sets under each key that are not of its
-    largest class; a set takes the one that it shares most keys with.
+    A round's centres are the smallest sets under each key, looked for under a
+    set's first LOOKED_AT keys; a set takes the one that it shares most of them
+    with.  The next round is for sets that lie in no key's largest class.
     """
     linked, labels, rest = None, None, crowd
     for nth in range(CENTRES):
-        centre = _by_key(rest, rest.groupBy("key").agg(F.min("rep").alias("centre")))
-        best = centre.groupBy("rep", "centre").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct("n", -F.col("centre"))).alias("best"))
-        star = store.materialise(best.select((-F.col("best")["col2"]).alias("centre"), "rep").where("centre <> rep").join(reps.select("rep", "n"), "rep"), "stars")
+        few = rest.select("rep", F.explode(F.slice("keys", 1 + nth, LOOKED_AT)).alias("key"))
+        centre = _by_key(few, few.groupBy("key").agg(F.min("rep").alias("centre")))
+        best = centre.groupBy("rep", "centre").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct(F.col("n"), (-F.col("centre")).alias("back"))).alias("best"))
+        star = best.select((-F.col("best.back")).alias("centre"), "rep").where("centre <> rep")
+        star = store.materialise(star.join(reps.select("rep", "n"), "rep"), "stars")
         sizes = star.groupBy("centre").agg(_blocks_for("n").alias("parts"))
         star = star.join(sizes, "centre").select("rep", F.col("centre").alias("tree"), F.pmod(F.xxhash64("rep"), "parts").alias("pair"), F.lit(1).cast("long").alias("block"))
         middle = sizes.select(F.col("centre").alias("rep"), F.col("centre").alias("tree"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("pair"), F.lit(0).cast("long").alias("block"))
@@ -443,34 +461,52 @@ def _classes(crowd: DataFrame, reps: DataFrame, confirm) -> tuple[DataFrame, Dat
         linked = store.materialise(new if linked is None else linked.unionByName(new), "centre-links")
         labels = store.materialise(components(linked).select(F.col("node").alias("rep"), F.col("component").alias("label")), "classes")
         if nth < CENTRES - 1:
-            mixed = _mixed(crowd, labels)
-            if mixed.isEmpty():
+            by, mixed = _mixed(_labelled(crowd, labels))
+            others = by.join(mixed, "key").where("label <> top").select("label").distinct()
+            rest = store.materialise(_labelled(crowd, labels).join(others, "label", "left_semi").select("rep", "keys"), "no-centre-yet")
+            if rest.isEmpty():
                 break
-            rest = store.materialise(_by_key(_labelled(crowd, labels), mixed).where("label <> top").select("key", "rep"), "no-centre-yet")
     return linked, labels
 
 
 def _labelled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    return crowd.join(labels, "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    return crowd.join(labels, "rep", "left").select("rep", "keys", F.coalesce("label", "rep").alias("label"))
 
 
-def _mixed(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, top, n_top, n_rest) of the keys under which sets of several classes lie."""
-    by = _labelled(crowd, labels).groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = by.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
-    return store.materialise(mixed.select("key", F.col("most.label").alias("top"), F.col("most.n").alias("n_top"), (F.col("n") - F.col("most.n")).alias("n_rest")), "mixed-keys")
+def _mixed(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, label, n) of all keys, and (key, top, n_top), the largest class, of those under which sets of several classes lie."""
+    by = store.materialise(named.select("label", F.explode("keys").alias("key")).groupBy("key", "label").agg(F.count("*").alias("n")), "key-classes")
+    mixed = by.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    return by, store.materialise(mixed.select("key", F.col("most.label").alias("top"), F.col("most.n").alias("n_top")), "mixed-keys")
 
 
 def _differing(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rep, group): the pairs of blocks by which sets meet under mixed keys; two blocks of the largest class meet nowhere."""
-    rows = _by_key(_labelled(crowd, labels), _mixed(crowd, labels))
-    top = F.col("label") == F.col("top")
-    tops, rests = (F.ceil(F.col(c) / MEET) for c in ("n_top", "n_rest"))
-    mine = F.pmod(F.xxhash64("rep"), F.when(top, tops).otherwise(rests))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    with_rest = F.transform(upto(rests), lambda b: F.when(F.col("top_set"), F.xxhash64("key", F.lit("top"), b, "mine")).otherwise(F.xxhash64("key", F.lit("rest"), F.least(b, "mine"), F.greatest(b, "mine"))))
-    with_top = F.when(F.col("top_set"), F.array().cast("array<bigint>")).otherwise(F.transform(upto(tops), lambda c: F.xxhash64("key", F.lit("top"), "mine", c)))
-    rows = rows.withColumn("top_set", top).withColumn("mine", mine.cast("long"))
+    """(rep, group): the pairs of blocks by which sets meet that share mixed keys.
+
+    A key's sets meet at its largest class, once however many keys they share:
+    those of the class are one side, all others another.  Two blocks of the class
+    meet nowhere.  Where the class's sets lie under many mixed keys, all of it is
+    taken, rather than looked up by each key.
+    """
+    named = _labelled(crowd, labels)
+    by, mixed = _mixed(named)
+    members = named.groupBy(F.col("label").alias("top")).agg(F.count("*").alias("members"))
+    load = store.materialise(mixed.groupBy("top").agg(F.sum("n_top").alias("load")).join(members, "top"), "mixed-load")
+    tops = named.withColumn("top", F.col("label")).join(load, "top")
+    whole = tops.where("members <= 4 * load").select("top", "rep", "label")
+    keyed = _by_key(tops.where("members > 4 * load").select("rep", "label", F.explode("keys").alias("key")), mixed).where("label = top")
+    others = by.join(mixed, "key").where("label <> top").select("label").distinct()
+    rests = _by_key(named.join(others, "label").select("rep", "label", F.explode("keys").alias("key")), mixed).where("label <> top")
+    rows = store.materialise(whole.unionByName(keyed.unionByName(rests).select("top", "rep", "label").distinct()), "mixed-sets")
+
+    own = F.col("label") == F.col("top")
+    counts = rows.groupBy("top").agg(*[F.ceil(F.sum(side.cast("long")) / MEET).alias(c) for side, c in ((own, "tops"), (~own, "rests"))])
+    rows = _by_key(rows.select(F.col("top").alias("key"), "rep", own.alias("own")), counts.withColumnRenamed("top", "key"))
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("tops")).otherwise(F.col("rests"))).cast("long")
+    rows = rows.withColumn("mine", mine)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_rest = F.transform(upto("rests"), lambda b: F.when(F.col("own"), F.xxhash64("key", F.lit("top"), b, "mine")).otherwise(F.xxhash64("key", F.lit("rest"), F.least(b, "mine"), F.greatest(b, "mine"))))
+    with_top = F.when(F.col("own"), F.array().cast("array<bigint>")).otherwise(F.transform(upto("tops"), lambda c: F.xxhash64("key", F.lit("top"), "mine", c)))
     return store.materialise(rows.select("rep", F.explode(F.concat(with_rest, with_top)).alias("group")), "mixed-blocks")
 
 
@@ -514,12 +550,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
         """Links among sets (rep, tree, pair, block): those of a tree and pair are compared, one block with the other where there are two."""
         # one text of each set
         joined = texts.join(sets.hint("merge"), "rep").withColumn("bucket", F.pmod(F.xxhash64("tree", "pair"), F.lit(4 * groups)))
-        rows = store.dealt(joined.select("bucket", "rep", "tree", "pair", "block", "text"), "bucket", docs.select(F.col(text_col)))
+        rows = store.dealt(joined.select("bucket", "rep", "tree", "pair", "block", "text"), "bucket", docs.select(F.col(text_col)), always=True)
         return rows.groupBy("bucket").applyInArrow(_confirm(shingle, similarity), "a long, b long")
 
     named, blocked, linked = reps.withColumn("label", F.col("rep")), None, None
     if len(found[1]):
-        crowd = store.materialise(reps.select("rep", "sketch").mapInArrow(_crowd(frequent, t), "key long, rep long"), "crowd")
+        crowd = store.materialise(reps.select("rep", "sketch").mapInArrow(_crowd(frequent, t), "rep long, keys array<long>").where(F.size("keys") > 0), "crowd")
         linked, labels = _classes(crowd, reps, confirm)
         named = store.materialise(reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
         blocked = _differing(crowd, labels)
@@ -531,7 +567,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
         if blocked is not None:
             both = sets.join(blocked.hint("merge"), "rep").select("group", "rep", "label", "blocks", "sketch")
             bands = bands.unionByName(both.mapInArrow(_to_blocks(buckets, t), blobs.SCHEMA))
-        return blobs.each_bucket(store.dealt(bands, "bucket", reps), work, SKETCH, schema)
+        return blobs.each_bucket(store.dealt(bands, "bucket", docs.select(F.col(text_col))), work, SKETCH, schema)
 
     meets = meet(named.withColumn("blocks", F.lit(1)), _meet(t), "a long, b long")
     meets = store.materialise(meets.distinct(), "meets")

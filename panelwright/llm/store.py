@@ -82,11 +82,15 @@ DEAL_BYTES = 2 << 20  # of the input for each task that a large exchange deals t
 DEAL_MOST = 100_000
 
 
-def dealt(rows: DataFrame, key: str, like: DataFrame) -> DataFrame:
-    """rows dealt by key to as many tasks as a table of the size of like asks for, where that is known and more than the session's number."""
+def dealt(rows: DataFrame, key: str, like: DataFrame, always: bool = False) -> DataFrame:
+    """rows dealt by key to as many tasks as a table of the size of like asks for, where that is known and more than the session's number.
+
+    always keeps the session's number as the least, so that few bytes with much work are not gathered in a task or two.
+    """
     size = plan_bytes(like)
     n = min(DEAL_MOST, -(-size // DEAL_BYTES)) if size < UNKNOWN else 0
-    return rows.repartition(n, key) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(n, least), key) if always or n > least else rows
 
 
 def free_names(columns, *wanted: str) -> list[str]:
