@@ -93,9 +93,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     found.select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     store.release(spark)
 
-    counts = _read(spark, cache_path, tokenizer)
+    # as plain files on one side Spark can split a frequent digest's rows on the other
+    counts = store.materialise(_read(spark, cache_path, tokenizer), "token-counts")
     sized = rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    joined = sized.join(counts, "digest", "left")
+    joined = sized.join(counts.hint("merge"), "digest", "left")
     return joined.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "digest")
 
 
