@@ -8,6 +8,7 @@ pieces, each of which knows its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from bisect import bisect_left
@@ -242,13 +243,27 @@ _LETTERS[[*range(65, 91), *range(97, 123)]] = True
 _SLOTS = 1 << 22
 
 
+# The normalizer and the split of tokenizers that take a text piece by piece as they take it whole.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_words(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) gives a text the ids of its pieces, one after another."""
+    normal, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    first = (split.get("pretokenizers") or [{}])[0]
+    added = all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in spec.get("added_tokens") or [])
+    return normal.get("normalizers") == _NORMALIZER and first.get("pattern") == {"Regex": _SPLIT} and first.get("behavior") == "Removed" and bool(first.get("invert")) and added
+
+
 class Encoder:
     """Token ids of whole texts, a distinct piece of text at a time.
 
     A piece is a word, cut where an ASCII letter meets a mark.  This is exact for
     tokenizers that lower-case, drop ASCII white space and cut there too before
     they merge, as word_bpe_49k.json does; tests check it against whole texts.
-    Ids of up to CACHE_WORDS pieces are kept between batches.
+    Other tokenizers get whole texts.  Ids of up to CACHE_WORDS pieces are kept
+    between batches.
     """
 
     def __init__(self, path: str):
@@ -260,6 +275,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        self.by_piece = cuts_at_words(json.loads(self.model.to_str()))
         self._clear()
 
     def _clear(self) -> None:
@@ -273,6 +289,10 @@ class Encoder:
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one longer than texts)."""
+        if not self.by_piece:
+            found = self.model.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            ids = [np.array(x.ids, dtype=np.uint32) for x in found]
+            return np.concatenate([np.empty(0, dtype=np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         w = _pieces(words.split(texts))
         hashes = w.hashes()
         if self.known > CACHE_WORDS:
@@ -376,8 +396,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id:
 
     Each sequence is filled from 0 without a gap and holds capacity tokens at
     most.  A null or empty text is the document of end_id alone.  Rows that
-    repeat an id are documents of their own.  An empty table gives no rows.
-    ids (little-endian unsigned 32-bit) is null unless with_ids.
+    repeat an id are documents of their own.  Other columns are ignored, whatever
+    their names.  An empty table gives no rows.  ids (little-endian unsigned
+    32-bit) is null unless with_ids.
     """
     spark = docs.sparkSession
     cut = store.materialise(pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=with_ids), "pieces")
