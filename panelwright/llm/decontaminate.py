@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from . import store, words
 
-PHRASE_BYTES = 64 << 20  # text of benchmark items, at most, that is sent to the executors
+PHRASE_BYTES = 64 << 20  # text of benchmark items, at most, that the driver reads
+BUILT_BYTES = 128 << 20  # and of the windows made of it, which are sent to the executors
 SHARD_BYTES = 4 << 20
 SAMPLE_EVERY = 16
 
@@ -105,7 +106,7 @@ class FMIndex:
         hi = np.full(len(phrases), self.bwt.n, dtype=np.int64)
         live = np.arange(len(phrases))
         for j in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[live, j]
+            c = phrases[live, j].astype(np.int64)
             lo[live] = self.before[c] + self.bwt.rank(c, lo[live])
             hi[live] = self.before[c] + self.bwt.rank(c, hi[live])
             gone = lo[live] >= hi[live]
@@ -148,8 +149,9 @@ class Phrases:
 def phrases_of(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = 10) -> Phrases | None:
     """The windows of a benchmark; None if no item has a word.
 
-    The items must have PHRASE_BYTES of text at most, as they are sent to every
-    executor; a larger benchmark is an error, to be looked up in several parts.
+    The items must have PHRASE_BYTES of text at most and make BUILT_BYTES of
+    windows at most, as those are sent to every executor; a larger benchmark is
+    an error, to be looked up in several parts.
     """
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -159,8 +161,11 @@ def phrases_of(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str =
     w = words.split(got.column("text"), words.ALNUM, lower=True)
     if not len(w.starts):
         return None
+    built = 4 * int((np.minimum(w.counts, window) * np.maximum(w.counts - window + 1, 1)).sum())
+    if built > BUILT_BYTES:
+        raise ValueError(f"the benchmark makes {built} bytes of windows, over {BUILT_BYTES}: look it up in parts")
     vocabulary, symbols = np.unique(w.hashes(), return_inverse=True)
-    symbols = symbols.astype(np.int64) + 1
+    symbols = symbols.reshape(-1).astype(np.int32) + 1
     by_length: dict[int, list] = {}
     for i, (a, b) in enumerate(zip(w.ptr[:-1], w.ptr[1:], strict=True)):
         if k := min(window, b - a):
@@ -284,7 +289,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", len
 
     A span is cut from its first word's first byte to its last word's last one;
     a text without a span, null ones too, is unchanged.  length_col, if docs has
-    it, becomes the new text's length where the text changed.
+    it, becomes the new text's length where the text changed.  Repeated rows are
+    cut alike; other columns may have any names.
     """
     spark = docs.sparkSession
     store.ship(spark)
@@ -293,6 +299,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", len
         return docs
     shared = spark.sparkContext.broadcast(p)
     at = docs.columns.index(text_col)
+    (flag,) = store.free_names(docs.columns, "changed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,12 +309,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", len
                 column = part.column(at)
                 if len(f.spans):
                     column, changed = cut(part.column(at), f)
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], column, *part.columns[at + 1 :], pa.array(changed)], names=[*part.schema.names, "_changed"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], column, *part.columns[at + 1 :], pa.array(changed)], names=[*part.schema.names, flag])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_changed", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
     out = docs.mapInArrow(run, schema)
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("_changed"), F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+        out = out.withColumn(length_col, F.when(F.col(flag), F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
     return out.select(*docs.columns)
 
 
