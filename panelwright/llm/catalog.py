@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures of every document and the cascade's verdict."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality.cascade(docs, quality.default_rules(), prepare=quality.measure)
+    ranked = quality.estimate(docs, quality.default_rules())
+    judged = quality.cascade(docs, quality.default_rules(), prepare=quality.measure, ranked=ranked)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"), (~quality.base_failed() & F.col("kept")).alias("kept"))
 
 
@@ -202,5 +203,25 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+# Exact containment of every template in every window; bands only choose what is compared, with a chance of missing that is given in licenses.
+OP9_SQL = """
+with t(template, license, text) as (values __TEMPLATES__),
+tw as (select template, license, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '') as w from t),
+tk as (select template, license, w, least(len(w), 5) as k from tw),
+tg as (select template, license, k, list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as grams from tk),
+tn as (select *, len(grams) as n, pow(2, floor(log2(len(grams))))::bigint as m from tg),
+te as (select template, k, unnest(grams) as gram from tn),
+dw as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '') as w from documents),
+dg as (select doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') as gram from (select doc_id, w, k, unnest(range(0, len(w) - k + 1)) as p from dw, (select distinct k from tn))),
+hit as (select doc_id, template, license, n, gram, p // m - back as j from dg join te using (k, gram) join tn using (template, k), (select unnest([0, 1, 2]) as back)),
+part as (select doc_id, template, license, j, count(distinct gram) * 100.0::double / n as part from hit where j >= 0 group by doc_id, template, license, j, n),
+best as (select doc_id, license, template, max(part) as part from part where part >= 80 group by all)
+select doc_id, license, max(part) as containment, count(*) as n_templates from best group by doc_id, license
+""".replace("__TEMPLATES__", ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES)))
+
 QUERIES = {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_urls": op3_urls, "op4_near_dups": op4_near_dups, "op5_decontaminate": op5_decontaminate, "op6_toxicity": op6_toxicity, "op7_repeats": op7_repeats, "op8_packing": op8_packing, "op9_licenses": op9_licenses, "op10_tokens": op10_tokens}
-ORACLES = {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op3_urls": OP3_SQL, "op4_near_dups": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_repeats": OP7_SQL}
+ORACLES = {"op1_quality": OP1_SQL, "op2_warc": OP2_SQL, "op3_urls": OP3_SQL, "op4_near_dups": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_repeats": OP7_SQL, "op9_licenses": OP9_SQL}

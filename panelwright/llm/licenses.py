@@ -65,13 +65,13 @@ def template_table(spark: SparkSession, templates=TEMPLATES, k: int = SHINGLE) -
     return t.dropDuplicates(["license", "w"])
 
 
-def _anchors(t: DataFrame, k: int) -> list[str]:
-    """For each shingle of a template its longest word: a text with none of these words shares no shingle with a template."""
+def _anchors(t: DataFrame, k: int) -> DataFrame:
+    """One row of words, of each shingle of a template its longest: a text with none of these words shares no shingle with a template."""
     w = F.col("w")
     longest = lambda s: F.aggregate(s, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     starts = F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)))
-    found = t.select(F.explode(F.transform(starts, lambda i: longest(F.slice(w, i, k)))).alias("a")).distinct()
-    return sorted(r["a"] for r in found.collect())  # one for each shingle of the templates at most, whose size is checked
+    found = t.select(F.explode(F.transform(starts, lambda i: longest(F.slice(w, i, k)))).alias("a"))
+    return found.agg(F.sort_array(F.collect_set("a")).alias("anchors"))  # one for each shingle of the templates at most, whose size is checked
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, *, k: int = SHINGLE, bands: int = BANDS, containment: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,16 +84,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, k: int = SHINGLE, bands: int =
     how many of them were found.
 
     Null and empty texts, and templates without a word, match nothing.  Rows
-    that repeat an id are one document.  An empty table gives no rows.
+    that repeat an id are one document.  Other columns are ignored, whatever
+    their names.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     t = store.materialise(template_table(spark, templates, k), "templates")
     if store.plan_bytes(t) > TEMPLATE_BYTES:
         raise ValueError("the templates are too large to be sent to every executor: scan with parts of them")
     sizes = sorted(r["n"] for r in t.select(F.least("n_words", F.lit(k)).alias("n")).distinct().collect())
-    anchors = _anchors(t, k)
     text = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w"))
-    near = store.materialise(text.where(F.arrays_overlap("w", F.array(*map(F.lit, anchors)).cast("array<string>"))), "near-licenses")
+    near = store.materialise(text.crossJoin(F.broadcast(_anchors(t, k))).where(F.arrays_overlap("w", "anchors")).select("id", "w"), "near-licenses")  # one row beside each
     found = None
     for size in sizes:  # templates of k words or more, and each smaller size
         mine = t.where(F.least("n_words", F.lit(k)) == size)
