@@ -493,11 +493,12 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_c
     buckets = store.buckets_for(docs.select(F.col(text_col)), GROUP_BYTES)
     crowded = spark.sparkContext.broadcast(_crowded(source, window, anchor, GROUP_MOST))  # tables of bits of a bounded size
     prefixes = source.mapInArrow(_prefixes(window, anchor, crowded, buckets), blobs.SCHEMA)
-    again = store.materialise(blobs.each_bucket(prefixes, _repeated(buckets), PREFIX, blobs.SCHEMA), "prefixes")
+    size = docs.select(F.col(text_col))
+    again = store.materialise(blobs.each_bucket(store.dealt(prefixes, "bucket", size), _repeated(buckets), PREFIX, blobs.SCHEMA), "prefixes")
 
     wanted = store.materialise(blobs.each_bucket(again, _by_document(), PREFIX, "doc long, records binary"), "wanted")
-    passages = source.join(wanted.hint("merge"), "doc").select("doc", "text", "records").mapInArrow(_passages(window, buckets), "bucket long, doc long, at long, many int, text binary")
-    marks = passages.groupBy("bucket").applyInArrow(_trees(window, buckets), blobs.SCHEMA)
+    passages = store.dealt(source, "doc", size).join(store.dealt(wanted, "doc", size).hint("merge"), "doc").select("doc", "text", "records").mapInArrow(_passages(window, buckets), "bucket long, doc long, at long, many int, text binary")
+    marks = store.dealt(passages, "bucket", size).groupBy("bucket").applyInArrow(_trees(window, buckets), blobs.SCHEMA)
     marks = store.materialise(marks, "marks")
 
     # marks that tasks made of equal suffixes of their own
