@@ -10,8 +10,8 @@ takes for a part to fit in memory.  Of the ANCHOR-word sequences in a window, th
 one with the smallest hash is its prefix; equal windows have equal ones at the
 same place, so neighbouring suffixes mostly share it, and are sent together as one
 passage.  Passages are counted exactly.  Where more than GROUP_MOST share a
-prefix, each of their windows takes its prefix from its sequences of STEP words
-more, and again, up to the whole window, where equal suffixes are a single node
+prefix, each of their windows takes its prefix from its longer sequences, and
+again, LENGTHS times, up to the whole window, where equal suffixes are a single node
 and count once in each task.
 
 Prefixes that occur once in the corpus head no deep node; an exchange of hashes
@@ -36,7 +36,7 @@ from . import blobs, store, words
 
 WINDOW = 20
 ANCHOR = 8
-STEP = 4  # words by which a prefix is lengthened
+LENGTHS = 4  # of a prefix: an anchor's, and evenly more up to the window's
 GROUP_MOST = 4096  # passages under a prefix, at most; it decides how suffixes are split, not what is found
 GROUP_BYTES = 1 << 20
 HELD = 300_000  # windows, each its own prefix, that a task holds before it sends them on
@@ -75,7 +75,7 @@ def _runs(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
 
 def lengths(window: int, anchor: int) -> list[int]:
     """Words of a prefix: an anchor's, then more and more, the whole window at last."""
-    return [*range(anchor, window, STEP), window]
+    return sorted({anchor + (window - anchor) * i // (LENGTHS - 1) for i in range(LENGTHS)})
 
 
 def prefixes_of(h: np.ndarray, ptr: np.ndarray, window: int, anchor: int, crowded: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -526,7 +526,9 @@ def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, s
     known = F.col("text_hash") if "text_hash" in spans.columns else F.lit(None).cast("long")
     found = spans.select(F.col(id_col).alias(key), F.col("starts").alias(starts), F.col("ends").alias(ends), known.alias(of))
     mine = F.col(of).isNull() | (F.col(of) == F.xxhash64(F.col(text_col)))
-    return docs.join(found.hint("merge"), (F.col(id_col) == F.col(key)) & mine, "left").select(*docs.columns, starts, ends)
+    size = docs.select(F.col(text_col))
+    left, right = store.dealt(docs, id_col, size), store.dealt(found, key, size)
+    return left.join(right.hint("merge"), (F.col(id_col) == F.col(key)) & mine, "left").select(*docs.columns, starts, ends)
 
 
 def kept_words(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
