@@ -11,7 +11,6 @@ do, a task's retry leaves no half file, and files are gzip.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 from collections.abc import Iterator
@@ -99,7 +98,10 @@ def parse(stream: io.BufferedIOBase, with_payload: bool = False) -> Iterator[tup
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
         head = _fields(stream)
-        block = stream.read(int(head["content-length"]))
+        size = int(head["content-length"])
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError(f"{head['warc-record-id']} breaks off after {len(block)} of {size} bytes")
         kind, n, digest, page, body = head["warc-type"], None, None, None, None
         if kind in ("response", "revisit"):
             http, _, body = block.partition(b"\r\n\r\n")
@@ -126,29 +128,49 @@ def _fields(stream) -> dict[str, str]:
 def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     """A row for each record of the archives in the folder path.
 
-    Files are read whole by Spark and inflated as a stream.  A broken record or a
-    payload that does not have its digest raises.  A folder of empty archives
-    gives no rows.
+    A task inflates its archives as a stream, one member or many, cut where
+    records may end and put together again, so that it holds some payloads at a
+    time and never a file.  A record that breaks off, one that begins otherwise
+    or a payload that does not have its digest raises.  A folder of empty
+    archives gives no rows.
     """
     store.ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, pa.int64() if t == "long" else pa.binary() if t == "binary" else pa.string()) for c, t in (x.split(" ") for x in RECORD.split(", "))])
-        for batch in batches:
-            for content in batch.column(0):
+        kept, held = [], 0
+        for r in parse(io.BufferedReader(_Joined(x.as_py() for batch in batches for x in batch.column(0)), 1 << 16), with_payload):
+            kept.append(r)
+            held += len(r[-1] or b"") + 500
+            if held > 4 << 20:
+                yield _rows(kept, schema)
                 kept, held = [], 0
-                with gzip.GzipFile(fileobj=io.BytesIO(memoryview(content.as_buffer()))) as f:
-                    for r in parse(io.BufferedReader(f, 1 << 16), with_payload):
-                        kept.append(r)
-                        held += len(r[-1] or b"") + 500
-                        if held > 4 << 20:
-                            yield _rows(kept, schema)
-                            kept, held = [], 0
-                if kept:
-                    yield _rows(kept, schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+        if kept:
+            yield _rows(kept, schema)
+
+    # gzip files are never split, and a partition has the parts of each in their order
+    parts = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path)
+    return parts.select(F.col("value").cast("binary").alias("part")).mapInArrow(run, RECORD)
+
+
+class _Joined(io.RawIOBase):
+    """Parts as one stream, each followed by the END that it was cut at."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.left = parts, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.left:
+            part = next(self.parts, None)
+            if part is None:
+                return 0
+            self.left = memoryview(part + END.encode())
+        n = min(len(into), len(self.left))
+        into[:n], self.left = self.left[:n], self.left[n:]
+        return n
 
 
 def _rows(kept: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
