@@ -39,6 +39,7 @@ ANCHOR = 8
 LENGTHS = 4  # of a prefix: an anchor's, and evenly more up to the window's
 GROUP_MOST = 4096  # passages under a prefix, at most; it decides how suffixes are split, not what is found
 GROUP_BYTES = 1 << 20
+TREE_BYTES = GROUP_BYTES // 4  # of the input for each group of prefixes; tasks that get many small groups get about as much each
 HELD = 300_000  # windows, each its own prefix, that a task holds before it sends them on
 
 MARKED = 255  # kind of a record of windows that are known to be repeats; those of a prefix have its place among the lengths
@@ -218,7 +219,7 @@ def _crowded(docs: DataFrame, window: int, anchor: int, most: int) -> list[blobs
     while len(out) < n:
         begin, upto = len(out), 1 if not out else n
         counted = docs.mapInArrow(_counted(window, anchor, spark.sparkContext.broadcast(list(out)), upto, buckets), blobs.SCHEMA + ", nth int")
-        found = store.materialise(blobs.more_than(counted, most, by="nth"), "crowded")
+        found = store.materialise(blobs.more_than(store.dealt(counted, "bucket", docs.select("text")), most, by="nth"), "crowded")
         out += [blobs.members(found.where(F.col("nth") == i), "h") for i in range(begin, upto)]
         if not len(out[-1]) and upto == 1:
             break
@@ -496,8 +497,8 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_c
     size = docs.select(F.col(text_col))
     again = store.materialise(blobs.each_bucket(store.dealt(prefixes, "bucket", size), _repeated(buckets), PREFIX, blobs.SCHEMA), "prefixes")
 
-    wanted = store.materialise(blobs.each_bucket(again, _by_document(), PREFIX, "doc long, records binary"), "wanted")
-    passages = store.dealt(source, "doc", size).join(store.dealt(wanted, "doc", size).hint("merge"), "doc").select("doc", "text", "records").mapInArrow(_passages(window, buckets), "bucket long, doc long, at long, many int, text binary")
+    wanted = store.materialise(blobs.each_bucket(store.dealt(again, "bucket", size), _by_document(), PREFIX, "doc long, records binary"), "wanted")
+    passages = store.dealt(source, "doc", size).join(store.dealt(wanted, "doc", size).hint("merge"), "doc").select("doc", "text", "records").mapInArrow(_passages(window, store.buckets_for(size, TREE_BYTES)), "bucket long, doc long, at long, many int, text binary")
     marks = store.dealt(passages, "bucket", size).groupBy("bucket").applyInArrow(_trees(window, buckets), blobs.SCHEMA)
     marks = store.materialise(marks, "marks")
 
@@ -510,8 +511,8 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, id_c
         made = list(blobs.send((words.mix(out["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), out))
         return pa.Table.from_batches(made) if made else blobs._empty(blobs.SCHEMA)
 
-    own = again.groupBy("bucket").applyInArrow(local, blobs.SCHEMA)
-    spans = store.materialise(blobs.each_bucket(marks.unionByName(own), _spans(window), MARK, "doc long, starts array<long>, ends array<long>"), "repeats")
+    own = store.dealt(again, "bucket", size).groupBy("bucket").applyInArrow(local, blobs.SCHEMA)
+    spans = store.materialise(blobs.each_bucket(store.dealt(marks.unionByName(own), "bucket", size), _spans(window), MARK, "doc long, starts array<long>, ends array<long>"), "repeats")
     part = F.pmod("doc", F.lit(many))
     whose = spans.select(F.expr(f"(doc - pmod(doc, {many}L)) div {many}L").alias("id"), part.alias("part"), "starts", "ends")
     hashes = F.lit(None).cast("long").alias("text_hash")
