@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blobs, store, words
-from .components import components
+from .components import components, forest
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
@@ -212,7 +212,7 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowd(frequent, t: Tables):
-    """(rep, keys) for each set with crowded pair keys: these, in order."""
+    """(rep, n, keys) for each set with crowded pair keys: these, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, crowded = frequent.value
@@ -229,7 +229,7 @@ def _crowd(frequent, t: Tables):
             order = np.lexsort((key, row))
             own = np.unique(row)
             ends = np.append(np.searchsorted(row[order], own), len(row)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order]))], names=["rep", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[own]), batch.column(2).take(pa.array(own)), pa.ListArray.from_arrays(pa.array(ends), pa.array(key[order]))], names=["rep", "n", "keys"])
 
     return run
 
@@ -277,22 +277,6 @@ def _to_blocks(buckets: int, t: Tables):
     return run
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Root of each of n nodes under the edges a-b."""
-    root = np.arange(n)
-    while len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        np.minimum.at(root, high, low)
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root = up
-        left = root[a] != root[b]
-        a, b = a[left], b[left]
-    return root
-
-
 def _candidates(records: np.ndarray, t: Tables) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of records, two and two, that share a table's key, agree in enough minhashes and are not of one class yet; records are sorted by key."""
     key = records["key"]
@@ -341,7 +325,7 @@ def _meet(t: Tables):
                 size += len(i)
             if held and (i is None or size > EDGES):
                 a, b = (root[np.concatenate(x)] for x in zip(*held, strict=True))
-                root = _forest(len(ids), a, b)[root]
+                root = forest(len(ids), a, b)[root]
                 held, size = [], 0
         child = np.flatnonzero(root != np.arange(len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(ids[root[child]]), pa.array(ids[child])], names=["a", "b"])
@@ -419,7 +403,7 @@ def _confirm(k: int, percent: int):
             if left < e - s:
                 ok = ib >= left
                 ia, ib = ia[ok], ib[ok]
-            root = _forest(int(e - s), ia, ib)
+            root = forest(int(e - s), ia, ib)
             child = np.flatnonzero(root != np.arange(e - s))
             out_a.append(rep[s:e][root[child]])
             out_b.append(rep[s:e][child])
@@ -440,8 +424,8 @@ def _by_key(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
 
 
-def _classes(crowd: DataFrame, reps: DataFrame, confirm) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of crowded sets (rep, keys) with centres, and (rep, label) of the classes that they make.
+def _classes(crowd: DataFrame, confirm) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of crowded sets (rep, n, keys) with centres, and (rep, label) of the classes that they make.
 
     A round's centres are the smallest sets under each key, looked for under a
     set's first LOOKED_AT keys; a set takes the one that it shares most of them
@@ -449,35 +433,37 @@ def _classes(crowd: DataFrame, reps: DataFrame, confirm) -> tuple[DataFrame, Dat
     """
     linked, labels, rest = None, None, crowd
     for nth in range(CENTRES):
-        few = rest.select("rep", F.explode(F.slice("keys", 1 + nth, LOOKED_AT)).alias("key"))
+        few = rest.select("rep", "n", F.explode(F.slice("keys", 1 + nth, LOOKED_AT)).alias("key"))
         centre = _by_key(few, few.groupBy("key").agg(F.min("rep").alias("centre")))
-        best = centre.groupBy("rep", "centre").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max(F.struct(F.col("n"), (-F.col("centre")).alias("back"))).alias("best"))
-        star = best.select((-F.col("best.back")).alias("centre"), "rep").where("centre <> rep")
-        star = store.materialise(star.join(reps.select("rep", "n"), "rep"), "stars")
+        of_set = F.collect_list("centre").alias("all")
+        most = F.array_max(F.transform("all", lambda c: F.struct(F.size(F.filter("all", lambda x: x == c)).alias("n"), (-c).alias("back"))))
+        best = centre.groupBy("rep").agg(of_set, F.first("n").alias("n")).withColumn("best", most)  # LOOKED_AT centres a set at most
+        star = best.select((-F.col("best.back")).alias("centre"), "rep", "n").where("centre <> rep")
+        star = store.materialise(star, "stars", of=crowd)
         sizes = star.groupBy("centre").agg(_blocks_for("n").alias("parts"))
         star = star.join(sizes, "centre").select("rep", F.col("centre").alias("tree"), F.pmod(F.xxhash64("rep"), "parts").alias("pair"), F.lit(1).cast("long").alias("block"))
         middle = sizes.select(F.col("centre").alias("rep"), F.col("centre").alias("tree"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("pair"), F.lit(0).cast("long").alias("block"))
-        new = confirm(store.materialise(star.unionByName(middle), "star-sets"))
+        new = confirm(store.materialise(star.unionByName(middle), "star-sets", of=crowd))
         linked = store.materialise(new if linked is None else linked.unionByName(new), "centre-links")
         labels = store.materialise(components(linked).select(F.col("node").alias("rep"), F.col("component").alias("label")), "classes")
         if nth < CENTRES - 1:
-            by, mixed = _mixed(_labelled(crowd, labels))
+            by, mixed = _mixed(_labelled(crowd, labels), crowd)
             others = by.join(mixed, "key").where("label <> top").select("label").distinct()
-            rest = store.materialise(_labelled(crowd, labels).join(others, "label", "left_semi").select("rep", "keys"), "no-centre-yet")
+            rest = store.materialise(_labelled(crowd, labels).join(others, "label", "left_semi").select("rep", "n", "keys"), "no-centre-yet", of=crowd)
             if rest.isEmpty():
                 break
     return linked, labels
 
 
 def _labelled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    return crowd.join(labels, "rep", "left").select("rep", "keys", F.coalesce("label", "rep").alias("label"))
+    return crowd.join(labels, "rep", "left").select("rep", "n", "keys", F.coalesce("label", "rep").alias("label"))
 
 
-def _mixed(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _mixed(named: DataFrame, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, label, n) of all keys, and (key, top, n_top), the largest class, of those under which sets of several classes lie."""
-    by = store.materialise(named.select("label", F.explode("keys").alias("key")).groupBy("key", "label").agg(F.count("*").alias("n")), "key-classes")
+    by = store.materialise(named.select("label", F.explode("keys").alias("key")).groupBy("key", "label").agg(F.count("*").alias("n")), "key-classes", of=crowd)
     mixed = by.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
-    return by, store.materialise(mixed.select("key", F.col("most.label").alias("top"), F.col("most.n").alias("n_top")), "mixed-keys")
+    return by, store.materialise(mixed.select("key", F.col("most.label").alias("top"), F.col("most.n").alias("n_top")), "mixed-keys", of=crowd)
 
 
 def _differing(crowd: DataFrame, labels: DataFrame) -> DataFrame:
@@ -489,15 +475,15 @@ def _differing(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     taken, rather than looked up by each key.
     """
     named = _labelled(crowd, labels)
-    by, mixed = _mixed(named)
+    by, mixed = _mixed(named, crowd)
     members = named.groupBy(F.col("label").alias("top")).agg(F.count("*").alias("members"))
-    load = store.materialise(mixed.groupBy("top").agg(F.sum("n_top").alias("load")).join(members, "top"), "mixed-load")
+    load = store.materialise(mixed.groupBy("top").agg(F.sum("n_top").alias("load")).join(members, "top"), "mixed-load", of=crowd)
     tops = named.withColumn("top", F.col("label")).join(load, "top")
     whole = tops.where("members <= 4 * load").select("top", "rep", "label")
     keyed = _by_key(tops.where("members > 4 * load").select("rep", "label", F.explode("keys").alias("key")), mixed).where("label = top")
     others = by.join(mixed, "key").where("label <> top").select("label").distinct()
     rests = _by_key(named.join(others, "label").select("rep", "label", F.explode("keys").alias("key")), mixed).where("label <> top")
-    rows = store.materialise(whole.unionByName(keyed.unionByName(rests).select("top", "rep", "label").distinct()), "mixed-sets")
+    rows = store.materialise(whole.unionByName(keyed.unionByName(rests).select("top", "rep", "label").distinct()), "mixed-sets", of=crowd)
 
     own = F.col("label") == F.col("top")
     counts = rows.groupBy("top").agg(*[F.ceil(F.sum(side.cast("long")) / MEET).alias(c) for side, c in ((own, "tops"), (~own, "rests"))])
@@ -539,7 +525,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
     made = store.materialise(made, "sketches")
     full = made.where("n_shingles > 0 and id is not null")
     # equal sets are one from here on
-    reps = store.materialise(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sets")
+    reps = store.materialise(full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sets", of=made)
     buckets = store.buckets_for(reps, TASK_BYTES // 8)
     found = frequent_keys(reps, t)
     frequent = spark.sparkContext.broadcast(found)  # tables of bits of a bounded size
@@ -555,8 +541,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
 
     named, blocked, linked = reps.withColumn("label", F.col("rep")), None, None
     if len(found[1]):
-        crowd = store.materialise(reps.select("rep", "sketch").mapInArrow(_crowd(frequent, t), "rep long, keys array<long>").where(F.size("keys") > 0), "crowd")
-        linked, labels = _classes(crowd, reps, confirm)
+        crowd = store.materialise(reps.select("rep", "sketch", "n").mapInArrow(_crowd(frequent, t), "rep long, n long, keys array<long>").where(F.size("keys") > 0), "crowd")
+        linked, labels = _classes(crowd, confirm)
         named = store.materialise(reps.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
         blocked = _differing(crowd, labels)
 
@@ -570,13 +556,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
         return blobs.each_bucket(store.dealt(bands, "bucket", docs.select(F.col(text_col))), work, SKETCH, schema)
 
     meets = meet(named.withColumn("blocks", F.lit(1)), _meet(t), "a long, b long")
-    meets = store.materialise(meets.distinct(), "meets")
+    meets = store.materialise(meets.distinct(), "meets", of=reps)
 
     # what may link, as trees
     trees = components(meets).select(F.col("node").alias("rep"), F.col("component").alias("tree")).join(reps.select("rep", "n"), "rep")
     trees = store.materialise(trees, "trees")
     sizes = trees.groupBy("tree").agg(_blocks_for("n").alias("blocks"))
-    sized = store.materialise(trees.join(sizes, "tree").select("rep", "tree", "blocks"), "tree-sizes")
+    sized = store.materialise(trees.join(sizes, "tree").select("rep", "tree", "blocks"), "tree-sizes", of=trees)
     pairs = sized.where("blocks = 1").select("rep", "tree", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("block"))
     large = sized.where("blocks > 1")
     if not large.isEmpty():
@@ -585,7 +571,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
         beside = beside.join(large, "rep")
         pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
         pairs = pairs.unionByName(beside.select("rep", "tree", pair.alias("pair"), "block"))
-    links = confirm(store.materialise(pairs, "blocks"))
+    links = confirm(store.materialise(pairs, "blocks", of=reps))
     if linked is not None:
         links = links.unionByName(linked)
     # an id that several sets have joins them
@@ -593,7 +579,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, similarity: int
     same = full.select("id", "digest").join(several, "id").where("d <> digest").select("d", "digest").distinct()
     name = reps.select("digest", "rep")
     same = same.join(name.select(F.col("digest").alias("d"), F.col("rep").alias("a")), "d").join(name.select("digest", F.col("rep").alias("b")), "digest").select("a", "b")
-    links = store.materialise(links.unionByName(same).distinct(), "links")
+    links = store.materialise(links.unionByName(same).distinct(), "links", of=reps)
     member = components(links).withColumnRenamed("node", "rep")
     of_set = store.materialise(name.join(member, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "set-components")
     out = made.select("id", "n_shingles", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest")).join(of_set, "digest", "left")
